@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import lengths, media, mixing, packing, sharding, tokens
+from quillframe.llm import language, lengths, media, mixing, packing, passages, quality, sharding, tokens
 from quillframe.llm.common import Scratch
 
 
@@ -24,6 +24,31 @@ def op2_shards(spark: SparkSession, sf: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    trusted = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1")
+    return quality.assess(documents(spark, sf), trusted)
+
+
+def _remainder(mod: int):
+    """crc32 of the id as text; a null id is never held out and never learned from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(mod))
+
+
+def op5_passages(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    model = passages.train(docs, labels.filter(_remainder(4) != 2))
+    scored = passages.score(docs, model)
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    model = language.train(docs.filter(_remainder(5) != 0))
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
+    return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf), tokens.default_path(), tokens=2048)
 
@@ -40,6 +65,6 @@ def op10_lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media, op2_shards, op7_packing, op8_mixing, op10_lengths)
+    f.__name__: f for f in (op1_media, op2_shards, op4_quality, op5_passages, op6_language, op7_packing, op8_mixing, op10_lengths)
 }
 SQL: dict[str, str] = {}
