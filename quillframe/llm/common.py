@@ -179,6 +179,10 @@ class SpanHashes:
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.scale[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
+    def rolling(self, n: int) -> np.ndarray:
+        """Hash of the n bytes from each position on."""
+        return mix((self.sums[n:] - self.sums[:-n]) * self.scale[: len(self.sums) - n] + np.uint64(n * 0xC2B2AE3D27D4EB4F % 2**64))
+
 
 def windows(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of n consecutive items within a row, and the index of each window's first item."""

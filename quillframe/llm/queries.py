@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import language, lengths, media, mixing, packing, passages, quality, sharding, tokens
+from quillframe.llm import language, lengths, media, mixing, neardup, packing, passages, quality, repeats, sharding, tokens
 from quillframe.llm.common import Scratch
 
 
@@ -24,6 +24,10 @@ def op2_shards(spark: SparkSession, sf: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_neardup(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.group_duplicates(documents(spark, sf), Scratch(spark, "neardup"), neardup.Rule(words=3, num=85, den=100))
+
+
 def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     trusted = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1")
     return quality.assess(documents(spark, sf), trusted)
@@ -60,11 +64,15 @@ def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op9_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf), Scratch(spark, "repeats")).drop("kept_text")
+
+
 def op10_lengths(spark: SparkSession, sf: str) -> DataFrame:
     return lengths.length_report(lengths.length_histogram(documents(spark, sf), tokens.default_path()))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media, op2_shards, op4_quality, op5_passages, op6_language, op7_packing, op8_mixing, op10_lengths)
+    f.__name__: f for f in (op1_media, op2_shards, op3_neardup, op4_quality, op5_passages, op6_language, op7_packing, op8_mixing, op9_repeats, op10_lengths)
 }
 SQL: dict[str, str] = {}
