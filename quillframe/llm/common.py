@@ -37,6 +37,8 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._at[id(out)] = (path, out)
+        # Shuffle files of steps before this one have no reader left; Spark deletes them once the JVM collects their handles.
+        self.spark._jvm.System.gc()
         return out
 
     def drop(self, *frames: DataFrame) -> None:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillframe.llm.common import SpanHashes, blocks, columns_of, in_arrow, row_of, windows, words
 
@@ -128,20 +129,43 @@ def assess(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_c
     the base rules (fewer than 10 words). Without trusted documents the base rules alone decide.
     Repeated rows are judged each. An empty table gives an empty result.
     """
-    ids = trusted.select(F.col(f"`{trusted_id_col}`").cast("long").alias("id")).filter(F.col("id").isNotNull()).distinct()
-    chosen = [r["id"] for r in ids.orderBy(F.xxhash64("id"), "id").limit(max_trusted).collect()]
-    table = log_ratios(*count_grams(df, chosen, id_col, text_col))
-    shared = df.sparkSession.sparkContext.broadcast(table)
+    judge = _judge(df, trusted, threshold, id_col, text_col, trusted_id_col, max_trusted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for rows, data, offsets in blocks(batches):
-            out = base_statistics(data, offsets)
-            cells, at = grams(data, offsets)
-            of = row_of(offsets, at)
-            n = np.bincount(of, minlength=len(rows))
-            llr = np.bincount(of, shared.value[cells], minlength=len(rows)) / np.maximum(n, 1)
-            failed = (out["n_words"] < 10) | (100 * out["n_repeat_words"] > 20 * out["n_words"])
-            yield {"doc_id": rows.column(0)} | out | {"base_failed": failed, "llr": llr, "kept": ~failed & (llr >= threshold)}
+            yield {"doc_id": rows.column(0)} | judge(data, offsets)
 
     kind = df.schema[id_col].dataType.simpleString()
     return in_arrow(columns_of(df, doc_id=id_col, text=text_col), run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double, kept boolean")
+
+
+def keep_good(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", trusted_id_col: str = "doc_id", max_trusted: int = MAX_TRUSTED) -> DataFrame:
+    """The rows of df, with all their columns, that ``assess`` would keep. Rows stay where they are: no shuffle."""
+    judge = _judge(df, trusted, threshold, id_col, text_col, trusted_id_col, max_trusted)
+    place = df.columns.index(text_col)
+    names = [f"c{i}" for i in range(len(df.columns))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for rows, data, offsets in blocks(batches, names[place]):
+            kept = rows.filter(pa.array(judge(data, offsets)["kept"]))
+            yield {n: kept.column(i) for i, n in enumerate(names)}
+
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, df.schema, strict=True)])
+    return in_arrow(df.toDF(*names), run, schema).toDF(*df.columns)
+
+
+def _judge(df: DataFrame, trusted: DataFrame, threshold: float, id_col: str, text_col: str, trusted_id_col: str, max_trusted: int):
+    """Counts both multinomials; gives the function that judges a block of texts."""
+    ids = trusted.select(F.col(f"`{trusted_id_col}`").cast("long").alias("id")).filter(F.col("id").isNotNull()).distinct()
+    chosen = [r["id"] for r in ids.orderBy(F.xxhash64("id"), "id").limit(max_trusted).collect()]
+    shared = df.sparkSession.sparkContext.broadcast(log_ratios(*count_grams(df, chosen, id_col, text_col)))
+
+    def judge(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+        out, n = base_statistics(data, offsets), len(offsets) - 1
+        cells, at = grams(data, offsets)
+        of = row_of(offsets, at)
+        llr = np.bincount(of, shared.value[cells], minlength=n) / np.maximum(np.bincount(of, minlength=n), 1)
+        failed = (out["n_words"] < 10) | (100 * out["n_repeat_words"] > 20 * out["n_words"])
+        return out | {"base_failed": failed, "llr": llr, "kept": ~failed & (llr >= threshold)}
+
+    return judge

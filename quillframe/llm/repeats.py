@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillframe.llm.common import Scratch, SpanHashes, blocks, columns_of, in_arrow, spread
 from quillframe.llm.suffixes import agree, order
@@ -212,8 +213,9 @@ def whole_characters(text: bytes, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def remove_repeats(df: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, hot_bytes: int = HOT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of df: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text.
+def remove_repeats(df: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, hot_bytes: int = HOT_BYTES, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of df: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text;
+    with keep, those columns of df in front.
 
     Removes each byte of a text that lies under a string of window bytes which also starts anywhere
     else in the table, in the same text too. Null counts as an empty text; texts shorter than window
@@ -222,8 +224,10 @@ def remove_repeats(df: DataFrame, scratch: Scratch, window: int = WINDOW, gram:
     kept_sha256 go by bytes. An empty table gives an empty result.
     """
     spans = find_repeats(df, scratch, window, gram, hot_bytes, id_col, text_col).withColumnRenamed("text_key", "of")
-    rows = columns_of(df, doc_id=id_col, text=text_col).withColumn("key", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
-    joined = rows.join(spans, F.col("key") == F.col("of"), "left").select("doc_id", "text", "spans")
+    own = [f"k{i}" for i in range(len(keep))]
+    rows = columns_of(df, doc_id=id_col, text=text_col, **dict(zip(own, keep, strict=True)))
+    rows = rows.withColumn("key", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    joined = rows.join(spans, F.col("key") == F.col("of"), "left").select("doc_id", "text", "spans", *own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for block, data, offsets in blocks(batches):
@@ -241,6 +245,9 @@ def remove_repeats(df: DataFrame, scratch: Scratch, window: int = WINDOW, gram:
                 kept, whole = b"".join([*kept, text[at:]]), b"".join([*whole, text[to:]])
                 for name, x in zip(out, (len(text) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), whole.decode()), strict=True):
                     out[name].append(x)
-            yield {"doc_id": block.column(0), "n_bytes": np.diff(offsets)} | out
+            yield {c: block.column(3 + i) for i, c in enumerate(own)} | {"doc_id": block.column(0), "n_bytes": np.diff(offsets)} | out
 
-    return in_arrow(joined, run, f"doc_id {df.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    made = T.StructType([*[T.StructField(n, df.schema[c].dataType) for n, c in zip(own, keep, strict=True)], T.StructField("doc_id", df.schema[id_col].dataType)])
+    for name, kind in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType())):
+        made = made.add(name, kind)
+    return in_arrow(joined, run, made).toDF(*keep, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
