@@ -48,15 +48,15 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     passage = base[of] + rank // PASSAGE
     p = int(base[-1])
     out = np.zeros((p, FEATURES), np.float32)
-    if not len(starts):
+    if not len(data):
         return out, rows
-    # Bytes between words belong to the passage of the word before; those in front of a text's first word, to it.
-    word = np.clip(np.searchsorted(starts, np.arange(len(data)), side="right") - 1, 0, None)
     owner = row_of(offsets, np.arange(len(data)))
-    early = of[word] != owner
-    word[early] = np.minimum(word[early] + 1, len(starts) - 1)
-    mine = passage[word]
-    mine[of[word] != owner] = base[owner[of[word] != owner]]  # a text of white space only
+    mine = base[owner]  # where a text is white space only
+    if len(starts):
+        # Bytes between words belong to the passage of the word before; those in front of a text's first word, to its first passage.
+        word = np.searchsorted(starts, np.arange(len(data)), side="right") - 1
+        after = (word >= 0) & (of[word] == owner)
+        mine[after] = passage[word[after]]
     length = np.maximum(np.bincount(mine, minlength=p), 1)
     pairs = mine[1:] == mine[:-1]
     cell = (((data[:-1].astype(np.uint32) << np.uint32(8) | data[1:]) * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64) % CELLS
