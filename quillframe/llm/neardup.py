@@ -2,14 +2,18 @@
 
 One pass over the texts sketches each shingle set: BANDS * ROWS minima, of which a band's give the
 band's key and the low BITS bits of all are packed into a signature. Texts with the same set form a
-class; classes that share a band's key are candidates. No pairs are made within a bucket:
+class; classes that share a band's key are candidates. No rows are made of the pairs of a bucket:
 
 1. In every bucket each class is paired with one leader. Of a class's leaders the one with the best
    signature estimate is confirmed on the full sets, and confirmed links give components.
-2. Pairs whose classes are in one component already need no test. While there are more others than
-   classes, further rounds with other leaders merge what they can.
-3. Then every pair left over, of classes that share a bucket and lie in different components, is
-   confirmed. So components are those of all candidate pairs; rounds only save tests.
+2. Pairs of classes in one component need no test. For the rest, each bucket's members outside its
+   largest component meet the bucket in blocks of packed signatures, in memory; what looks similar
+   becomes, for each of them, lists of candidates by chunk of classes.
+3. Chunk by chunk, the lists are tested on the full sets. A task passes over candidates that its own
+   links have joined already and gives only links that join something.
+
+So the components are those of all candidate pairs, whatever the sizes of buckets and groups, while
+rows grow with classes and memory with the fixed sizes of blocks and chunks.
 
 Estimates count equal bits of packed signatures, corrected for chance collisions: a lane of BITS
 bits agrees with probability J + (1 - J) / 2^BITS. Only pairs more than MARGIN below the threshold
@@ -28,12 +32,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import LOWER, Scratch, SpanHashes, blocks, columns_of, in_arrow, mix, windows, words
+from quillframe.llm.common import LOWER, Scratch, SpanHashes, blocks, columns_of, in_arrow, mix, spread, windows, words
 from quillframe.llm.components import connected
 
 BANDS, ROWS, BITS = 24, 4, 4
 LANES = BANDS * ROWS
 MARGIN = 0.2
+#: Classes that a block of a bucket, and a chunk of texts, hold.
+BLOCK, CHUNK = 2048, 1024
 _LANE = 0x1111111111111111
 
 
@@ -138,6 +144,123 @@ def _confirm(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     return in_arrow(both, run, "a binary, b binary").distinct()
 
 
+def _meet(members: DataFrame, scratch: Scratch, least: float) -> DataFrame:
+    """a, chunk, root, found: for classes a outside their bucket's largest component, the candidates by chunk.
+
+    members: band, class_id, root, chunk, packed. Every pair of a bucket's classes in different
+    components is looked at, each once.
+    """
+    sizes = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    bucket = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    open_ = bucket.filter("most < n").select(F.col("band").alias("of"), "main", F.ceil((F.col("n") - F.col("most")) / F.lit(BLOCK)).alias("blocks"))
+    rows = members.join(open_, F.col("band") == F.col("of")).withColumn("inside", F.col("root") == F.col("main"))
+    own = rows.filter("NOT inside").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")))
+    all_ = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    columns = ["band", "block", "streamed", "inside", "class_id", "root", "chunk", "packed"]
+    both = own.withColumn("streamed", F.lit(False)).select(*columns).union(all_.withColumn("streamed", F.lit(True)).select(*columns))
+    dealt = both.repartition(spread(scratch.spark), "band", "block").sortWithinPartitions("band", "block", "streamed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        key, held = None, []
+        for batch in batches:
+            cols = [batch.column(i) for i in range(batch.num_columns)]
+            band, block, streamed = (c.to_numpy(zero_copy_only=False) for c in cols[:3])
+            part = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (block[1:] != block[:-1]) | (streamed[1:] != streamed[:-1]), [True]]))
+            packed = np.array(cols[7].to_pylist(), np.int64).view(np.uint64)
+            for at, to in zip(part[:-1], part[1:], strict=True):
+                ids, roots = (np.array(c.slice(at, to - at).to_pylist(), "S16") for c in cols[4:6])
+                mine = (ids, roots, cols[3].slice(at, to - at).to_numpy(zero_copy_only=False), cols[6].slice(at, to - at).to_numpy(), packed[at:to])
+                if not streamed[at]:
+                    if key != (band[at], block[at]):
+                        key, held = (band[at], block[at]), []
+                    held.append(mine)
+                elif held:
+                    left = held[0] if len(held) == 1 else tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                    held = [left]
+                    yield from _similar(left, mine, least)
+
+    return in_arrow(dealt, run, "a binary, chunk long, root binary, found array<binary>")
+
+
+def _similar(left: tuple, right: tuple, least: float) -> Iterator[dict]:
+    """Candidates of left's classes among right's, by chunk."""
+    need = LANES * (1 - least * (1 - 2.0**-BITS) - 2.0**-BITS)  # most lanes that may differ
+    for at in range(0, len(right[0]), 512):
+        ids, roots, inside, chunks, packed = (x[at : at + 512] for x in right)
+        differ = np.zeros((len(left[0]), len(ids)), np.uint8)
+        for w in range(packed.shape[1]):
+            x = left[4][:, w, None] ^ packed[None, :, w]
+            x |= x >> np.uint64(2)
+            x |= x >> np.uint64(1)
+            differ += np.bitwise_count(x & np.uint64(_LANE))
+        hit = (differ <= need) & (left[1][:, None] != roots[None, :])
+        hit &= inside[None, :] | (left[0][:, None] < ids[None, :])
+        i, j = np.nonzero(hit)
+        if len(i):
+            order = np.lexsort((chunks[j], i))
+            i, j = i[order], j[order]
+            cut = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (chunks[j][1:] != chunks[j][:-1])]))
+            names = [_id(x) for x in ids]
+            yield {"a": [_id(left[0][k]) for k in i[cut]], "chunk": chunks[j[cut]], "root": [_id(left[1][k]) for k in i[cut]], "found": [[names[k] for k in g] for g in np.split(j, cut[1:])]}
+
+
+def _id(x: np.bytes_) -> bytes:
+    return bytes(x).ljust(16, b"\0")  # numpy drops zeros at the end
+
+
+def _test_chunks(lists: DataFrame, texts: DataFrame, placed: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
+    """Links (a, b) of roots that the candidate lists hold, enough of them to join all that belongs together."""
+    wanted = lists.groupBy("a", "chunk").agg(F.first("root").alias("root"), F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
+    asked = wanted.join(texts.select(F.col("class_id").alias("id"), "text"), F.col("a") == F.col("id")).select("chunk", F.lit(True).alias("asks"), "id", "root", "text", "found")
+    used = lists.select(F.col("chunk").alias("used")).distinct()
+    there = texts.join(placed.join(used, F.col("chunk") == F.col("used"), "left_semi").select(F.col("class_id").alias("id"), "root", "chunk"), F.col("class_id") == F.col("id"))
+    there = there.select("chunk", F.lit(False).alias("asks"), "id", "root", "text", F.lit(None).cast("array<binary>").alias("found"))
+    dealt = there.union(asked).repartition(spread(scratch.spark), "chunk").sortWithinPartitions("chunk", "asks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        now, members, parent = None, {}, {}
+
+        def root(x: bytes) -> bytes:
+            while parent.get(x, x) != x:
+                parent[x] = parent.get(parent[x], parent[x])
+                x = parent[x]
+            return x
+
+        for block, data, offsets in blocks(batches):
+            chunk, asks = block.column(0).to_pylist(), block.column(1).to_pylist()
+            ids, roots, found = (block.column(i).to_pylist() for i in (2, 3, 5))
+            sets, links = None, {"a": [], "b": []}
+            for i in range(len(block)):
+                if chunk[i] != now:
+                    now, members, parent = chunk[i], {}, {}
+                if not asks[i]:
+                    members[ids[i]] = [roots[i], data[offsets[i] : offsets[i + 1]].copy(), None]
+                    continue
+                if sets is None:
+                    sets = shingle_sets(data, offsets, rule.words)
+                own, size = sets[i], len(sets[i])
+                for other in found[i]:
+                    if other not in members:
+                        continue  # a repeated row of the same class
+                    entry = members[other]
+                    if root(roots[i]) == root(entry[0]):
+                        continue
+                    if entry[2] is None:
+                        entry[2], entry[1] = shingle_sets(entry[1], np.array([0, len(entry[1])]), rule.words)[0], None
+                    n = len(entry[2])
+                    if rule.den * min(size, n) < rule.num * max(size, n):
+                        continue
+                    common = len(np.intersect1d(own, entry[2], assume_unique=True))
+                    if rule.den * common >= rule.num * (size + n - common):
+                        links["a"].append(roots[i])
+                        links["b"].append(entry[0])
+                        parent[root(roots[i])] = root(entry[0])
+            if links["a"]:
+                yield links
+
+    return in_arrow(dealt, run, "a binary, b binary")
+
+
 def group_duplicates(df: DataFrame, scratch: Scratch, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of df: doc_id, n_shingles, component_id, kept.
 
@@ -153,78 +276,39 @@ def group_duplicates(df: DataFrame, scratch: Scratch, rule: Rule = Rule(), id_co
     # One text stands for a class: the least key, and the least id among its rows.
     classes = scratch.keep(full.groupBy("class_id").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("text_key", "doc_id")).alias("rep"), F.min("packed").alias("packed"), F.min("bands").alias("bands")))
     in_bucket = classes.select("class_id", F.explode("bands").alias("band"))
-    buckets = in_bucket.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("band").alias("of"))
-    active = scratch.keep(in_bucket.join(buckets, F.col("band") == F.col("of")).select("band", "class_id"))
-    members = active.select("class_id").distinct()
-    signed = scratch.keep(classes.join(members, "class_id", "left_semi").select("class_id", "rep", "packed"))
+    buckets = in_bucket.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("class_id").alias("leader")).filter("n > 1").select(F.col("band").alias("of"), "leader")
+    active = scratch.keep(in_bucket.join(buckets, F.col("band") == F.col("of")).select("band", "class_id", "leader"))
+    signed = scratch.keep(classes.join(active.select("class_id").distinct(), "class_id", "left_semi").select("class_id", "rep", "packed"))
     wanted = signed.select("class_id", F.col("rep.text_key").alias("rep_key"), F.col("rep.doc_id").alias("rep_id"))
     there = rows.filter("text IS NOT NULL").withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
     texts = scratch.keep(there.join(wanted, (F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("class_id", "text"))
     least = rule.num / rule.den - MARGIN
+
+    # 1. Everyone's most promising leader.
+    stars = active.filter("class_id <> leader").select(F.col("class_id").alias("a"), F.col("leader").alias("b")).distinct()
     left = signed.select(F.col("class_id").alias("a"), F.col("packed").alias("pa"))
     right = signed.select(F.col("class_id").alias("b"), F.col("packed").alias("pb"))
-    n_classes = signed.count()
-
-    links: DataFrame | None = None
-    tested: DataFrame | None = None
-    labelled = active.withColumn("root", F.col("class_id"))
-    turn, idle = 0, 0
-    while n_classes:
-        # A leader of each bucket for this turn, and those members that it could merge.
-        lead = labelled.groupBy("band").agg(F.min_by(F.struct("class_id", "root"), F.xxhash64("class_id", F.lit(turn))).alias("lead")).select(F.col("band").alias("of"), "lead")
-        stars = labelled.join(lead, (F.col("band") == F.col("of")) & (F.col("root") != F.col("lead.root"))).select(F.col("class_id").alias("a"), F.col("lead.class_id").alias("b")).distinct()
-        if tested is not None:
-            stars = stars.join(tested, ["a", "b"], "left_anti")
-        judged = stars.join(left, "a").join(right, "b").withColumn("e", estimate("pa", "pb")).filter(F.col("e") >= least)
-        best = judged.groupBy("a").agg(F.max_by("b", F.struct("e", "b")).alias("b"))
-        chosen = scratch.keep(best)
-        found = scratch.keep(_confirm(chosen, texts, rule))
-        gained = found.count()
-        turn += 1
-        idle = 0 if gained else idle + 1
-        tested = chosen if tested is None else scratch.keep(tested.union(chosen))
-        links = found if links is None else scratch.keep(links.union(found))
-        roots = scratch.keep(connected(links, scratch))
-        of_root = active.join(roots, F.col("class_id") == F.col("node"), "left").select("band", "class_id", F.coalesce("root", "class_id").alias("root"))
-        # Buckets within one component are done; of the others, pairs outside the largest component count.
-        spread_out = of_root.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select(F.col("band").alias("of"))
-        labelled = scratch.keep(of_root.join(spread_out, F.col("band") == F.col("of")).select("band", "class_id", "root"))
-        rest = _open_pairs(labelled, left, right, tested, least)
-        pairs = scratch.keep(rest)
-        if pairs.count() <= n_classes or idle:
-            more = scratch.keep(_confirm(pairs, texts, rule))
-            links = links.union(more)
-            break
-        scratch.drop(pairs)
-
-    if links is None:
-        roots = None
-    else:
-        roots = scratch.keep(connected(links, scratch))
-    labels = classes.select("class_id", "first_id")
-    if roots is not None:
-        labels = labels.join(roots, F.col("class_id") == F.col("node"), "left").select("class_id", "first_id", F.coalesce("root", "class_id").alias("root"))
-        least_id = labels.groupBy("root").agg(F.min("first_id").alias("component"))
-        labels = labels.join(least_id, "root").select(F.col("class_id").alias("of_class"), "component")
-    else:
-        labels = labels.select(F.col("class_id").alias("of_class"), F.col("first_id").alias("component"))
+    judged = stars.join(left, "a").join(right, "b").withColumn("e", estimate("pa", "pb")).filter(F.col("e") >= least)
+    best = scratch.keep(judged.groupBy("a").agg(F.max_by("b", F.struct("e", "b")).alias("b")))
+    links = scratch.keep(_confirm(best, texts, rule))
+    roots = scratch.keep(connected(links, scratch))
+    # Classes with the same leader are likely to meet; CHUNK of them share a chunk.
+    near = signed.join(best.withColumnRenamed("b", "leader"), F.col("class_id") == F.col("a"), "left").select("class_id", "packed", F.coalesce("leader", "class_id").alias("leader"))
+    many = near.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).alias("parts")).select(F.col("leader").alias("l"), "parts")
+    placed = near.join(many, F.col("leader") == F.col("l")).join(roots, F.col("class_id") == F.col("node"), "left")
+    placed = scratch.keep(placed.select("class_id", "packed", F.coalesce("root", "class_id").alias("root"), F.xxhash64("leader", F.pmod(F.xxhash64("class_id"), F.col("parts"))).alias("chunk")))
+
+    # 2. and 3. All that those links left open.
+    members = active.select("band", "class_id").join(placed, "class_id").select("band", "class_id", "root", "chunk", "packed")
+    lists = scratch.keep(_meet(members, scratch, least))
+    more = scratch.keep(_test_chunks(lists, texts, placed, scratch, rule))
+    scratch.drop(active, lists)
+    if not more.isEmpty():
+        roots = scratch.keep(connected(links.union(more), scratch))
+
+    labels = classes.join(roots, F.col("class_id") == F.col("node"), "left").select("class_id", "first_id", F.coalesce("root", "class_id").alias("root"))
+    least_id = labels.groupBy("root").agg(F.min("first_id").alias("component"))
+    labels = labels.join(least_id, "root").select(F.col("class_id").alias("of_class"), "component")
     joined = sketched.select("doc_id", "n_shingles", "class_id").join(labels, F.col("class_id") == F.col("of_class"), "left")
     component = F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def _open_pairs(labelled: DataFrame, left: DataFrame, right: DataFrame, tested: DataFrame, least: float) -> DataFrame:
-    """Untested pairs of classes that share a bucket, lie in different components and look similar enough.
-
-    Each member outside its bucket's largest component meets the bucket; members of that component do
-    not meet each other. The estimate is part of the join, so only promising pairs become rows.
-    """
-    sizes = labelled.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main")).select(F.col("band").alias("of"), "main")
-    signed = labelled.join(largest, F.col("band") == F.col("of")).join(left.select(F.col("a").alias("class_id"), F.col("pa").alias("packed")), "class_id")
-    outside = signed.filter("root <> main").select(F.col("band").alias("band_a"), F.col("class_id").alias("a"), F.col("root").alias("root_a"), F.col("packed").alias("pa"))
-    everyone = signed.select(F.col("band").alias("band_b"), F.col("class_id").alias("b"), F.col("root").alias("root_b"), (F.col("root") == F.col("main")).alias("in_main"), F.col("packed").alias("pb"))
-    met = (F.col("band_a") == F.col("band_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & (estimate("pa", "pb") >= least)
-    pairs = outside.join(everyone, met).select("a", "b").distinct()
-    seen = tested.select("a", "b").union(tested.select("b", "a")).select(F.col("a").alias("ta"), F.col("b").alias("tb"))
-    return pairs.join(seen, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
