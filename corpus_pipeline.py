@@ -48,10 +48,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return once.unionByName(again)
 
 
+#: Bytes of a passage that must not repeat: about 50 short words. The anchors' substrings leave windows enough to choose from.
+PASSAGE_BYTES, PASSAGE_GRAM = 256, 100
+
+
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the passages of 400 bytes or more that also occur elsewhere; n_chars follows the text."""
+    """Every document, without the passages of PASSAGE_BYTES or more that also occur elsewhere; n_chars follows the text."""
     rest = tuple(c for c in docs.columns if c != "text")
-    out = repeats.remove_repeats(docs.withColumnRenamed("doc_id", "__id").withColumnRenamed("text", "__text"), Scratch(spark, "suffix_dedup"), id_col="__id", text_col="__text", keep=tuple("__id" if c == "doc_id" else c for c in rest))
+    out = repeats.remove_repeats(docs.withColumnRenamed("doc_id", "__id").withColumnRenamed("text", "__text"), Scratch(spark, "suffix_dedup"), PASSAGE_BYTES, PASSAGE_GRAM, id_col="__id", text_col="__text", keep=tuple("__id" if c == "doc_id" else c for c in rest))
     cols = []
     for c in docs.columns:
         if c == "text":

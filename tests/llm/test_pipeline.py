@@ -52,7 +52,7 @@ def test_suffix_dedup(spark, docs, sf, rows):
     out = P.suffix_dedup(spark, docs, sf)
     assert out.columns == docs.columns and out.count() == len(rows)
     texts = [(r[2] or "").encode() for r in rows]
-    untouched = {r[1]: r[2] or "" for r, w in zip(rows, repeated(texts, 400), strict=True) if w[1] == 0}
+    untouched = {r[1]: r[2] or "" for r, w in zip(rows, repeated(texts, P.PASSAGE_BYTES), strict=True) if w[1] == 0}
     for r in out.collect():
         assert r["n_chars"] == len(r["text"]) or untouched.get(r["doc_id"]) is not None or r["n_chars"] is None
 
