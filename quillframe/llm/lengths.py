@@ -14,7 +14,7 @@ from quillframe.llm.common import blocks, columns_of, in_arrow
 from quillframe.llm.tokens import Encoder
 
 #: Lengths that one slice of the histogram spans; suffix sums run in slices, then across them.
-SLICE = 4096
+SLICE = 128
 
 
 def length_histogram(df: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ GRAM = 3
 #: Pseudo-counts that the target gets in the raw corpus's proportions.
 PRIOR = 2000.0
 #: Mean log ratio, in nats an n-gram, from which a document stays.
-THRESHOLD = -0.25
+THRESHOLD = -0.75
 #: Trusted documents that the target is fitted on, at most: the first by hash of their id.
 MAX_TRUSTED = 20_000
 SYMBOLS = np.zeros(256, bool)
