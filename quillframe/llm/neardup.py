@@ -292,8 +292,9 @@ def group_duplicates(df: DataFrame, scratch: Scratch, rule: Rule = Rule(), id_co
     best = scratch.keep(judged.groupBy("a").agg(F.max_by("b", F.struct("e", "b")).alias("b")))
     links = scratch.keep(_confirm(best, texts, rule))
     roots = scratch.keep(connected(links, scratch))
-    # Classes with the same leader are likely to meet; CHUNK of them share a chunk.
-    near = signed.join(best.withColumnRenamed("b", "leader"), F.col("class_id") == F.col("a"), "left").select("class_id", "packed", F.coalesce("leader", "class_id").alias("leader"))
+    # Classes that promising leaders connect are likely to meet; CHUNK of them share a chunk.
+    alike = scratch.keep(connected(best, scratch)).select(F.col("node").alias("of"), F.col("root").alias("leader"))
+    near = signed.join(alike, F.col("class_id") == F.col("of"), "left").select("class_id", "packed", F.coalesce("leader", "class_id").alias("leader"))
     many = near.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).alias("parts")).select(F.col("leader").alias("l"), "parts")
     placed = near.join(many, F.col("leader") == F.col("l")).join(roots, F.col("class_id") == F.col("node"), "left")
     placed = scratch.keep(placed.select("class_id", "packed", F.coalesce("root", "class_id").alias("root"), F.xxhash64("leader", F.pmod(F.xxhash64("class_id"), F.col("parts"))).alias("chunk")))
