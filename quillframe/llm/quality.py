@@ -3,8 +3,8 @@
 Two multinomials over hashed byte n-grams are counted: one over every document (raw corpus), one
 over the trusted documents (target). A document's verdict is the mean of log(target / raw) over
 all its n-grams, so it does not depend on length, against a fixed threshold: deterministic, with
-no sampling. Two passes over the texts; what crosses between them is a table of a fixed number of
-cells, whatever the input.
+no sampling. Two passes over the texts, the first with one shuffle of them to the trusted ids; what
+crosses between them is a table of a fixed number of cells, whatever the input.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ GRAM = 3
 PRIOR = 2000.0
 #: Mean log ratio, in nats an n-gram, from which a document stays.
 THRESHOLD = -0.75
-#: Trusted documents that the target is fitted on, at most: the first by hash of their id.
-MAX_TRUSTED = 20_000
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -86,27 +84,33 @@ def _later(rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def count_grams(df: DataFrame, trusted_ids: list[int], id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Counts over all documents and over the trusted ones, CELLS of each.
+def count_grams(df: DataFrame, trusted_ids: DataFrame | list[int], id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Counts over all documents and over the trusted ones, CELLS of each. A table of trusted ids has one column, id.
 
-    Each task adds up its own rows; the shuffle has at most CELLS rows a task, and CELLS rows reach
-    the driver.
+    The ids, however many, meet the documents in a shuffle of both, whatever the size. Each task adds
+    up its own rows; the shuffle of counts has at most CELLS rows a task, and CELLS rows reach the
+    driver.
     """
-    ids = np.array(sorted(trusted_ids), np.int64)
+    if not isinstance(trusted_ids, DataFrame):
+        trusted_ids = df.sparkSession.createDataFrame([(i,) for i in trusted_ids], "id long")
+    flags = trusted_ids.filter("id IS NOT NULL").distinct().withColumn("trusted", F.lit(True))
+    rows = columns_of(df, doc_id=id_col, text=text_col)
+    # Rows without an id match nothing; their text spreads them over the partitions.
+    keyed = rows.withColumn("at", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    flagged = keyed.join(flags.hint("merge"), F.col("at") == F.col("id"), "left").select(F.coalesce(F.col("trusted") & F.col("doc_id").isNotNull(), F.lit(False)).alias("trusted"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         raw, target = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64)
         for rows, data, offsets in blocks(batches):
-            doc = rows.column(0)
             cells, at = grams(data, offsets)
             raw += np.bincount(cells, minlength=CELLS)
-            chosen = np.isin(doc.fill_null(0).to_numpy(), ids) & doc.is_valid().to_numpy(zero_copy_only=False)
+            chosen = rows.column(0).to_numpy(zero_copy_only=False)
             target += np.bincount(cells[chosen[row_of(offsets, at)]], minlength=CELLS)
         some = np.flatnonzero(raw)
         if len(some):
             yield {"cell": some, "raw": raw[some], "target": target[some]}
 
-    counted = in_arrow(columns_of(df, doc_id=id_col, text=text_col), run, "cell int, raw long, target long").groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counted = in_arrow(flagged, run, "cell int, raw long, target long").groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     found = counted.toPandas()
     raw, target = np.zeros(CELLS), np.zeros(CELLS)
     raw[found["cell"]], target[found["cell"]] = found["raw"], found["target"]
@@ -121,15 +125,15 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.where(raw > 0, np.log((target + PRIOR * share) / (target.sum() + PRIOR)) - np.log(share), 0.0)
 
 
-def assess(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", trusted_id_col: str = "doc_id", max_trusted: int = MAX_TRUSTED) -> DataFrame:
+def assess(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", trusted_id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept.
 
-    trusted names the trusted documents by id; of more than max_trusted, the first by hash of the id
-    serve. Null ids there are ignored. A null or empty text has zero of everything, llr 0, and fails
-    the base rules (fewer than 10 words). Without trusted documents the base rules alone decide.
-    Repeated rows are judged each. An empty table gives an empty result.
+    trusted names the trusted documents by id, all of which count. Null ids there are ignored. A null
+    or empty text has zero of everything, llr 0, and fails the base rules (fewer than 10 words).
+    Without trusted documents the base rules alone decide. Repeated rows are judged each. An empty
+    table gives an empty result.
     """
-    judge = _judge(df, trusted, threshold, id_col, text_col, trusted_id_col, max_trusted)
+    judge = _judge(df, trusted, threshold, id_col, text_col, trusted_id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for rows, data, offsets in blocks(batches):
@@ -139,9 +143,9 @@ def assess(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_c
     return in_arrow(columns_of(df, doc_id=id_col, text=text_col), run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double, kept boolean")
 
 
-def keep_good(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", trusted_id_col: str = "doc_id", max_trusted: int = MAX_TRUSTED) -> DataFrame:
+def keep_good(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", trusted_id_col: str = "doc_id") -> DataFrame:
     """The rows of df, with all their columns, that ``assess`` would keep. Rows stay where they are: no shuffle."""
-    judge = _judge(df, trusted, threshold, id_col, text_col, trusted_id_col, max_trusted)
+    judge = _judge(df, trusted, threshold, id_col, text_col, trusted_id_col)
     place = df.columns.index(text_col)
     names = [f"c{i}" for i in range(len(df.columns))]
 
@@ -154,11 +158,10 @@ def keep_good(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, i
     return in_arrow(df.toDF(*names), run, schema).toDF(*df.columns)
 
 
-def _judge(df: DataFrame, trusted: DataFrame, threshold: float, id_col: str, text_col: str, trusted_id_col: str, max_trusted: int):
+def _judge(df: DataFrame, trusted: DataFrame, threshold: float, id_col: str, text_col: str, trusted_id_col: str):
     """Counts both multinomials; gives the function that judges a block of texts."""
-    ids = trusted.select(F.col(f"`{trusted_id_col}`").cast("long").alias("id")).filter(F.col("id").isNotNull()).distinct()
-    chosen = [r["id"] for r in ids.orderBy(F.xxhash64("id"), "id").limit(max_trusted).collect()]
-    shared = df.sparkSession.sparkContext.broadcast(log_ratios(*count_grams(df, chosen, id_col, text_col)))
+    ids = trusted.select(F.col(f"`{trusted_id_col}`").cast("long").alias("id"))
+    shared = df.sparkSession.sparkContext.broadcast(log_ratios(*count_grams(df, ids, id_col, text_col)))
 
     def judge(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         out, n = base_statistics(data, offsets), len(offsets) - 1

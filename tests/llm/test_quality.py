@@ -57,3 +57,21 @@ def test_counts_and_ratios(spark):
     want = np.log((target[cell] + quality.PRIOR * share[cell]) / (target.sum() + quality.PRIOR) / share[cell])
     assert abs(table[cell] - want) < 1e-6
     assert not quality.log_ratios(raw, target * 0).any()
+
+
+def test_every_trusted_document_counts(spark):
+    """More trusted documents than any sample: with all of them trusted, target and raw corpus are the same."""
+    rng = random.Random(4)
+    texts = [(i, "".join(rng.choice("etaoinshrdlu ") for _ in range(24))) for i in range(20_200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    assert max(abs(r["llr"]) for r in quality.assess(docs, docs).select("llr").collect()) < 1e-6
+    raw, target = quality.count_grams(docs, docs.select(docs["doc_id"].alias("id")))
+    assert (raw == target).all()
+
+
+def test_trusted_ids_join_as_flags(spark):
+    """Null and repeated trusted ids add nothing; rows without an id are never trusted."""
+    docs = spark.createDataFrame([(1, "abcd"), (1, "xabc"), (2, "abcd"), (None, "abcd"), (None, None)], "doc_id long, text string")
+    ids = spark.createDataFrame([(1,), (1,), (None,), (9,)], "id long")
+    raw, target = quality.count_grams(docs, ids)
+    assert raw.sum() == 8 and target.sum() == 4
