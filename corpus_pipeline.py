@@ -34,18 +34,29 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the least id: five-word shingles, similarity 0.8.
 
-    Rows that repeat an id and a text are one document; the first of them stays.
+    Rows that repeat an id and a text are one document; the first of them stays. An id may name several
+    texts, and null counts as larger than any other id: each text has its own verdict, and of one id's
+    texts in a group the one with the least md5 stays. Texts without words are in no group.
     """
     scratch = Scratch(spark, "near_dedup")
-    groups = scratch.keep(neardup.group_duplicates(docs, scratch, neardup.Rule(words=5, num=80, den=100)))
-    gone = groups.filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone")), "left_anti")
-    twice = scratch.keep(_repeated_ids(groups))
+    rule = neardup.Rule(words=5, num=80, den=100)
+    groups = scratch.keep(neardup.group_duplicates(docs, scratch, rule, with_keys=True).select("doc_id", "text_key", "root"))
+    # One row for each document, with the number of rows that repeat it.
+    each = groups.groupBy("doc_id", "text_key").agg(F.first("root").alias("root"), F.count(F.lit(1)).alias("n"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    least = groups.filter("root IS NOT NULL").groupBy("root").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("root").alias("r"), "best")
+    verdict = each.join(least, F.col("root") == F.col("r"), "left").withColumn("gone", F.coalesce(F.col("best") != rank, F.lit(False)))
+    special = scratch.keep(verdict.filter("gone OR n > 1").select(F.col("doc_id").alias("__of"), F.col("text_key").alias("__key"), "gone"))
+    key = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+    def having(rows: DataFrame, these: DataFrame, how: str) -> DataFrame:
+        return rows.join(these, rows["doc_id"].eqNullSafe(F.col("__of")) & (key == F.col("__key")), how)
+
+    once = having(docs, special, "left_anti")
+    twice = special.filter("NOT gone")
     if twice.isEmpty():
-        return kept
-    once = kept.join(twice, kept["doc_id"].eqNullSafe(F.col("repeated")), "left_anti")
-    again = kept.join(twice, kept["doc_id"].eqNullSafe(F.col("repeated")), "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again)
+        return once
+    return once.unionByName(having(docs, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 #: Bytes of a passage that must not repeat: about 50 short words. The anchors' substrings leave windows enough to choose from.

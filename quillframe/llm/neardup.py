@@ -261,14 +261,16 @@ def _test_chunks(lists: DataFrame, texts: DataFrame, placed: DataFrame, scratch:
     return in_arrow(dealt, run, "a binary, b binary")
 
 
-def group_duplicates(df: DataFrame, scratch: Scratch, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of df: doc_id, n_shingles, component_id, kept.
+def group_duplicates(df: DataFrame, scratch: Scratch, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text", with_keys: bool = False) -> DataFrame:
+    """One row for each row of df: doc_id, n_shingles, component_id, kept; with_keys, also text_key and root.
 
     Words are lower-cased for A-Z and split at spaces, tabs and line ends. component_id is the least
     doc_id reachable over links, kept whether it is the row's own. A text without words, null too, has
     the empty set and links with nothing: its component is itself. Repeated rows and equal texts link.
     Null ids count as larger than any other: a component has a null id only if all its ids are null.
-    An empty table gives an empty result.
+    text_key is the md5 of the text's bytes. root names the component apart from ids, which may repeat:
+    rows have the same root where they link, and null where the text has no words. An empty table gives
+    an empty result.
     """
     rows = columns_of(df, doc_id=id_col, text=text_col)
     sketched = scratch.keep(sketch(rows, rule))
@@ -309,7 +311,8 @@ def group_duplicates(df: DataFrame, scratch: Scratch, rule: Rule = Rule(), id_co
 
     labels = classes.join(roots, F.col("class_id") == F.col("node"), "left").select("class_id", "first_id", F.coalesce("root", "class_id").alias("root"))
     least_id = labels.groupBy("root").agg(F.min("first_id").alias("component"))
-    labels = labels.join(least_id, "root").select(F.col("class_id").alias("of_class"), "component")
-    joined = sketched.select("doc_id", "n_shingles", "class_id").join(labels, F.col("class_id") == F.col("of_class"), "left")
+    labels = labels.join(least_id, "root").select(F.col("class_id").alias("of_class"), "component", "root")
+    joined = sketched.select("doc_id", "n_shingles", "class_id", "text_key").join(labels, F.col("class_id") == F.col("of_class"), "left")
     component = F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    keys = ("text_key", "root") if with_keys else ()
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *keys)

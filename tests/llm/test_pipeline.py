@@ -1,5 +1,6 @@
 """Each stage against a plain version, on a small table with all that is awkward."""
 
+import hashlib
 import re
 from collections import Counter
 
@@ -48,6 +49,22 @@ def test_near_dedup(spark, docs, sf, rows):
     assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(x for x in want if x[0] not in gone)
 
 
+def test_near_dedup_keeps_every_verdict(spark, docs, sf, rows):
+    """Every row that the brute-force version keeps stays, also where another row of its id goes."""
+    made = list(components([r[1] for r in rows], [r[2] for r in rows], P.neardup.Rule()))
+    want = {(r[1], r[2]) for r, m in zip(rows, made, strict=True) if m[3]}
+    assert (None, "no id here") in want
+    assert Counter((r["doc_id"], r["text"]) for r in P.near_dedup(spark, docs, sf).collect()) == Counter(want)
+
+
+def test_near_dedup_repeated_ids(spark, sf):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    table = [(1, a), (2, a + " x"), (2, b), (3, b + " y"), (None, a + " z"), (None, c), (None, c + " v"), (None, d), (4, d + " w"), (5, "of 5"), (5, "of 5"), (6, None), (6, ""), (None, "alone")]
+    out = Counter(map(tuple, P.near_dedup(spark, spark.createDataFrame(table, "doc_id long, text string").repartition(3), sf).collect()))
+    one_of_c = min(c, c + " v", key=lambda t: hashlib.md5(t.encode()).digest())
+    assert out == Counter([(1, a), (2, b), (None, one_of_c), (4, d + " w"), (5, "of 5"), (6, None), (6, ""), (None, "alone")])
+
+
 def test_suffix_dedup(spark, docs, sf, rows):
     out = P.suffix_dedup(spark, docs, sf)
     assert out.columns == docs.columns and out.count() == len(rows)
