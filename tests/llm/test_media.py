@@ -34,6 +34,15 @@ def test_every_filter(color):
     assert len(media.cosine_hash(media.read_png(made))) == 16
 
 
+def test_written_rows_are_filtered(monkeypatch):
+    """Reading back what is written undoes a filter in every row."""
+    seen, undo = [], media.unfilter
+    monkeypatch.setattr(media, "unfilter", lambda kinds, rows, step: seen.append(kinds.copy()) or undo(kinds, rows, step))
+    payload = media.payload_of(np.random.default_rng(1).integers(0, 256, 5000, dtype=np.uint8).tobytes())
+    assert media.read_png(media.write_png(payload)).tobytes() == payload
+    assert len(seen) == 1 and len(seen[0]) == media.shape_of(len(payload))[0] and seen[0].all()
+
+
 def test_damage():
     made = media.write_png(media.payload_of(b"some text"))
     for at in (3, 20, 50, len(made) - 6):
