@@ -1,13 +1,18 @@
 """Each stage against a plain version, on a small table with all that is awkward."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline as P
-from quillframe.llm import mixing
+from quillframe.llm import mixing, quality
+from quillframe.llm.packing import END_ID
+from quillframe.llm.repeats import merged, whole_characters
+from quillframe.llm.tokens import default_path
 
 from .conftest import awkward
 from .test_neardup import brute as components
@@ -40,6 +45,24 @@ def test_quality(spark, docs, sf, rows):
     assert not kept - good and any(r[2] == rows[5][2] for r in kept)
 
 
+def test_quality_keeps_exactly_these(spark, docs, sf, rows):
+    """Both multinomials and every verdict by plain counting."""
+
+    def cells(text):
+        b = (text or "").encode()
+        return [((b[i] | b[i + 1] << 8 | b[i + 2] << 16) * 0x9E3779B1 % 2**32) >> 16 for i in range(len(b) - 2)]
+
+    found = [cells(r[2]) for r in rows]
+    raw = Counter(c for f in found for c in f)
+    target = Counter(c for r, f in zip(rows, found, strict=True) if r[1] in (5, 6, 9) for c in f)
+    share = {c: n / raw.total() for c, n in raw.items()}
+    ratio = {c: math.log((target[c] + quality.PRIOR * x) / (target.total() + quality.PRIOR) / x) for c, x in share.items()}
+    llr = [sum(ratio[c] for c in f) / max(len(f), 1) for f in found]
+    want = Counter(r for r, x in zip(rows, llr, strict=True) if not statistics(r[2])[-1] and x >= quality.THRESHOLD)
+    assert 0 < want.total() < len(rows)
+    assert Counter(map(tuple, P.quality_rules(spark, docs, sf).collect())) == want
+
+
 def test_near_dedup(spark, docs, sf, rows):
     out = P.near_dedup(spark, docs, sf)
     assert out.columns == docs.columns
@@ -74,6 +97,23 @@ def test_suffix_dedup(spark, docs, sf, rows):
         assert r["n_chars"] == len(r["text"]) or untouched.get(r["doc_id"]) is not None or r["n_chars"] is None
 
 
+def test_suffix_dedup_texts(spark, docs, sf, rows):
+    """Every row's text, and its n_chars, as brute force leaves them; characters stay whole."""
+    texts = [(r[2] or "").encode() for r in rows]
+    seen = Counter(t[i : i + P.PASSAGE_BYTES] for t in texts for i in range(len(t) - P.PASSAGE_BYTES + 1))
+    want = Counter()
+    for r, t in zip(rows, texts, strict=True):
+        spans = merged([(i, i + P.PASSAGE_BYTES) for i in range(len(t) - P.PASSAGE_BYTES + 1) if seen[t[i : i + P.PASSAGE_BYTES]] > 1])
+        kept, at = b"", 0
+        for a, b in (whole_characters(t, *x) for x in spans):
+            kept, at = kept + t[at:a], b
+        kept = (kept + t[at:]).decode()
+        want[r[1], kept, len(kept) if spans else r[5]] += 1
+    assert any(not x[1] for x in want) and any(len(x[1]) > P.PASSAGE_BYTES for x in want)
+    out = P.suffix_dedup(spark, docs, sf)
+    assert Counter((r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()) == want
+
+
 def test_mixing(spark, docs, sf, rows):
     out = P.source_mixing(spark, docs, sf)
     assert out.columns == docs.columns
@@ -94,6 +134,24 @@ def test_whole_run(spark, sf, rows):
     assert {r["doc_id"] for r in out.select("doc_id").collect()} <= {r[1] for r in rows}
 
 
+def test_whole_run_packs_every_token(spark, sf):
+    """The packed ids are those of the mixed texts, each token once, and pieces of a sequence do not overlap."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in P.STAGES[:-1]:
+        docs = P.Scratch(spark, "by_hand").keep(stage(spark, docs, sf))
+    model = Tokenizer.from_file(default_path())
+    model.encode_special_tokens = True
+    want, got, held = Counter(), Counter(), Counter()
+    for r in docs.collect():
+        ids = model.encode(r["text"], add_special_tokens=False).ids if r["text"] else []
+        want.update((r["doc_id"], k, x) for k, x in enumerate([*ids, END_ID]))
+    for r in P.run(spark, sf).collect():
+        got.update((r["doc_id"], r["start"] + k, x) for k, x in enumerate(r["ids"]))
+        held.update((r["sequence_id"], r["offset"] + k) for k in range(r["length"]))
+    assert want and got == want
+    assert max(held.values()) == 1 and all(at < 2048 for _, at in held)
+
+
 def test_empty_run(spark, sf, tmp_path, docs):
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{sf}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
