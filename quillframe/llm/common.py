@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import functools
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,6 +15,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,32 +24,73 @@ from pyspark.sql import types as T
 BLOCK_BYTES = 1 << 20
 
 
+#: Setting under which Spark removes a query's shuffle files when the query ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables in the folder that driver and executors share (spark.checkpoint.dir).
 
-    ``keep`` writes a DataFrame there and reads it back: lineage is cut at files that outlive
-    any executor. ``drop`` removes a table that no later step reads. Only where the setting is
-    missing, as in tests on one machine, a temporary folder takes its place.
+    ``keep`` writes a DataFrame there and reads it back: lineage is cut at files that outlive any
+    executor, and the shuffle files that made the table go when it is written. ``drop`` removes a table
+    that no later step reads, ``close`` all that are left; what nobody closes goes when the driver ends.
+    Where the setting is missing, a local master gets a temporary folder; any other is an error, since
+    executors elsewhere could not read it.
     """
 
+    opened: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scratch-")
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            base = _own_folder()
         self.spark, self.path, self._n, self._at = spark, f"{base}/{name}-{uuid.uuid4().hex}", 0, {}
+        self._files = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+        self.opened.append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path, self._n = f"{self.path}/{self._n:03d}", self._n + 1
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEAN, None)
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEAN) if before is None else self.spark.conf.set(_CLEAN, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._at[id(out)] = (path, out)
-        # Shuffle files of steps before this one have no reader left; Spark deletes them once the JVM collects their handles.
-        self.spark._jvm.System.gc()
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            path, _ = self._at.pop(id(df))
-            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+            self._delete(self._at.pop(id(df))[0])
+
+    def close(self) -> None:
+        """Removes every table. Only once no result that reads them is to be computed any more."""
+        if self in self.opened:
+            self.opened.remove(self)
+            self._at.clear()
+            self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
+        make, conf = self._files
+        target = make(path)
+        target.getFileSystem(conf).delete(target, True)
+
+
+@functools.cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="scratch-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+@atexit.register
+def _close_all() -> None:
+    with contextlib.suppress(Py4JError, OSError):  # the JVM may have ended first
+        for scratch in list(Scratch.opened):
+            scratch.close()
 
 
 def spread(spark: SparkSession) -> int:

@@ -5,19 +5,24 @@ band's key and the low BITS bits of all are packed into a signature. Texts with
 class; classes that share a band's key are candidates. No rows are made of the pairs of a bucket:
 
 1. In every bucket each class is paired with one leader. Of a class's leaders the one with the best
-   signature estimate is confirmed on the full sets, and confirmed links give components.
-2. Pairs of classes in one component need no test. For the rest, each bucket's members outside its
-   largest component meet the bucket in blocks of packed signatures, in memory; what looks similar
-   becomes, for each of them, lists of candidates by chunk of classes.
-3. Chunk by chunk, the lists are tested on the full sets. A task passes over candidates that its own
-   links have joined already and gives only links that join something.
-
-So the components are those of all candidate pairs, whatever the sizes of buckets and groups, while
-rows grow with classes and memory with the fixed sizes of blocks and chunks.
-
-Estimates count equal bits of packed signatures, corrected for chance collisions: a lane of BITS
-bits agrees with probability J + (1 - J) / 2^BITS. Only pairs more than MARGIN below the threshold
-are passed over, five standard errors.
+   signature estimate is tested on the full sets, and the links found give components.
+2. What that leaves open goes round by round. A class outside its bucket's largest component meets the
+   bucket in blocks of signatures, in memory, and names its best few candidates in other components.
+   Those are tested, components grow, and who had more candidates takes up where it left off, with
+   longer lists. A class is done when no untested candidate in another component is left.
+3. Tests go by chunks of classes: a chunk's texts and the texts that ask for them meet in one task,
+   which passes over pairs that its own links have joined already. Chunks are bounded in classes and
+   bytes, and one that many ask for is dealt to several tasks.
+
+So the components are those of all candidate pairs, whatever the sizes of buckets and groups, while a
+round's rows grow with classes and memory with the fixed sizes of blocks and chunks.
+
+Estimates count equal bits of packed signatures, corrected for chance collisions: a lane of BITS bits
+agrees with probability J + (1 - J) / 2^BITS. The LANES minima of the first signature only pass over
+pairs more than MARGIN below the threshold, five standard errors. Pairs that remain are judged by a
+second signature, low bits of the minima in WIDE parts of the hashes' range. The hashes that it samples
+of a union are a random choice without replacement, so that its five standard errors shrink with the
+sets, and what it leaves for full sets is little.
 """
 
 from __future__ import annotations
@@ -38,8 +43,14 @@ from quillframe.llm.components import connected
 BANDS, ROWS, BITS = 24, 4, 4
 LANES = BANDS * ROWS
 MARGIN = 0.2
-#: Classes that a block of a bucket, and a chunk of texts, hold.
-BLOCK, CHUNK = 2048, 1024
+#: Lanes of the second signature, of BITS bits: 0 where its part of the range holds no hash, else 1 to 15.
+WIDE = 512
+#: Classes that a block of a bucket holds, that a task streams past it, and that a chunk of texts holds.
+BLOCK, STREAM, CHUNK = 2048, 1 << 16, 1024
+#: Bytes of texts in a chunk, and of the texts that ask for it in one task, but for a longer single text.
+CHUNK_BYTES = 8 << 20
+#: Candidates that a class names in the first round, by how much later rounds have more, and the most.
+FIRST, MORE, MOST = 8, 16, 1024
 _LANE = 0x1111111111111111
 
 
@@ -119,148 +130,293 @@ def estimate(a: str, b: str) -> Column:
     return (1 - differ / F.lit(LANES) - F.lit(chance)) / F.lit(1 - chance)
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose full sets are similar enough."""
-    first = texts.select(F.col("class_id").alias("a"), F.col("text").alias("text_a"))
-    second = texts.select(F.col("class_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
+def wide_signature(shingles: np.ndarray) -> bytes:
+    """Low bits of the least hash in each of WIDE equal parts of the hashes' range, packed; hashes come sorted."""
+    part = (shingles >> np.uint64(64 - WIDE.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    lanes = np.zeros(WIDE, np.uint64)
+    lanes[part[first]] = np.uint64(1) + shingles[first] % np.uint64((1 << BITS) - 1)
+    return (lanes.reshape(-1, 64 // BITS) << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64).astype("<u8").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for block, data, offsets in blocks(batches, "text_a"):
-            left = shingle_sets(data, offsets, rule.words)
-            keys = block.column(1).to_pylist()
-            right: dict[bytes, np.ndarray] = {}
-            for part, other, ends in blocks([block.select(["b", "text_b"])], "text_b"):
-                names = part.column(0).to_pylist()
-                for i, s in enumerate(shingle_sets(other, ends, rule.words)):
-                    right.setdefault(names[i], s)
-            linked = []
-            for s, k in zip(left, keys, strict=True):
-                common = len(np.intersect1d(s, right[k], assume_unique=True))
-                linked.append(rule.den * common >= rule.num * (len(s) + len(right[k]) - common))
-            chosen = pa.array(linked, pa.bool_())
-            yield {"a": block.column(0).filter(chosen), "b": block.column(1).filter(chosen)}
-
-    return in_arrow(both, run, "a binary, b binary").distinct()
-
-
-def _meet(members: DataFrame, scratch: Scratch, least: float) -> DataFrame:
-    """a, chunk, root, found: for classes a outside their bucket's largest component, the candidates by chunk.
-
-    members: band, class_id, root, chunk, packed. Every pair of a bucket's classes in different
-    components is looked at, each once.
+
+def _filled(wide: np.ndarray) -> np.ndarray:
+    """One bit for each lane, set where the lane is not 0."""
+    x = wide | wide >> np.uint64(2)
+    return (x | x >> np.uint64(1)) & np.uint64(_LANE)
+
+
+def wide_estimate(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Similarity of signatures, pair by pair, and whether it may be as high as least.
+
+    Of the lanes that either fills, those with the same minimum count, less what agrees by chance where
+    both fill one. sizes are the sums of both sets' sizes: at similarity least they tell the union's.
+    """
+    fa, fb = _filled(a), _filled(b)
+    either = np.bitwise_count(fa | fb).sum(1, dtype=np.int64)
+    both = np.bitwise_count(fa & fb).sum(1, dtype=np.int64)
+    differ = np.bitwise_count(_filled(a ^ b)).sum(1, dtype=np.int64)
+    chance = 1 / ((1 << BITS) - 1)
+    same = both - (differ - (either - both))
+    found = (same - both * chance) / (1 - chance)
+    union = np.maximum(sizes / (1 + least), either)
+    spread_ = either * least * (1 - least) * (union - either) / np.maximum(union - 1, 1) + either * (1 - least) * chance / (1 - chance)
+    return found / np.maximum(either, 1), found >= least * either - 5 * np.sqrt(spread_) - 1
+
+
+def _arena(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """band, class_id, inside, blocks, parts: the members of every bucket that lies in several components.
+
+    members: band, class_id, root. Those of the largest component are inside; every other is to meet
+    the whole bucket, in one of its blocks. Who meets whom stays as it is here in all rounds.
     """
     sizes = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     bucket = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
-    open_ = bucket.filter("most < n").select(F.col("band").alias("of"), "main", F.ceil((F.col("n") - F.col("most")) / F.lit(BLOCK)).alias("blocks"))
-    rows = members.join(open_, F.col("band") == F.col("of")).withColumn("inside", F.col("root") == F.col("main"))
-    own = rows.filter("NOT inside").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")))
-    all_ = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-    columns = ["band", "block", "streamed", "inside", "class_id", "root", "chunk", "packed"]
-    both = own.withColumn("streamed", F.lit(False)).select(*columns).union(all_.withColumn("streamed", F.lit(True)).select(*columns))
-    dealt = both.repartition(spread(scratch.spark), "band", "block").sortWithinPartitions("band", "block", "streamed")
+    blocks_, parts = F.ceil((F.col("n") - F.col("most")) / F.lit(BLOCK)), F.ceil(F.col("n") / F.lit(STREAM))
+    open_ = bucket.filter("most < n").select(F.col("band").alias("of"), "main", blocks_.alias("blocks"), parts.alias("parts"))
+    rows = members.join(open_, F.col("band") == F.col("of"))
+    return scratch.keep(rows.select("band", "class_id", (F.col("root") == F.col("main")).alias("inside"), "blocks", "parts"))
+
+
+def _meet(arena: DataFrame, live: DataFrame, placed: DataFrame, scratch: Scratch, few: int, rule: Rule) -> DataFrame:
+    """a, root, more, found: the few best untested candidates of each live class in each of its buckets.
+
+    live: class_id, last (of the candidates tested so far; null: none). found holds (d, id, chunk) in
+    order of d, the estimated distance, then id; more tells that there are others behind them.
+    """
+    state = placed.select(F.col("class_id").alias("id"), "root", "chunk", "packed", "wide", "n_shingles")
+    own = arena.filter("NOT inside").join(live.select(F.col("class_id").alias("asks"), "last"), F.col("class_id") == F.col("asks"))
+    own = own.withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks"))).select("band", "block", "parts", "inside", "class_id", "last")
+    busy = own.select(F.col("band").alias("of"), "block").distinct()
+    there = arena.join(busy, F.col("band") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("parts")))
+    there = there.select("band", "block", "part", "inside", "class_id", F.lit(None).cast("struct<d:int,id:binary>").alias("last"), F.lit(True).alias("streamed"))
+    asking = own.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    asking = asking.select("band", "block", "part", "inside", "class_id", "last", F.lit(False).alias("streamed"))
+    both = there.union(asking).join(state, F.col("class_id") == F.col("id"))
+    dealt = both.select("band", "block", "part", "streamed", "inside", "class_id", "root", "chunk", "packed", "wide", "n_shingles", F.col("last.d").alias("d"), F.col("last.id").alias("last"))
+    dealt = dealt.repartition(spread(scratch.spark), "band", "block", "part").sortWithinPartitions("band", "block", "part", "streamed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        key, held = None, []
+        key, table = None, None
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
+            edges = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1), [True]]))
+            for at, to in zip(edges[:-1], edges[1:], strict=True):
+                rows = batch.slice(at, to - at)
+                if not keys[at, 3]:
+                    if key is None or (key != keys[at, :3]).any():
+                        if table is not None:
+                            yield from table.best()
+                        key, table = keys[at, :3], _Table(few, rule)
+                    table.seat(rows)
+                elif key is not None and (key == keys[at, :3]).all():
+                    table.meet(rows)
+        if table is not None:
+            yield from table.best()
+
+    return in_arrow(dealt, run, _NAMED)
+
+
+def _best_of(met: DataFrame, scratch: Scratch, few: int) -> DataFrame:
+    """One row for each class that asks, of the same form: its few best in all of its buckets."""
+    dealt = met.repartition(spread(scratch.spark), "a").sortWithinPartitions("a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        now, root, more, found = None, None, False, {}
+
+        def best() -> dict:
+            chosen = sorted(found)[:few]
+            return {"a": [now], "root": [root], "more": [more or len(found) > few], "found": [[{"d": d, "id": i, "chunk": found[d, i]} for d, i in chosen]]}
+
         for batch in batches:
-            cols = [batch.column(i) for i in range(batch.num_columns)]
-            band, block, streamed = (c.to_numpy(zero_copy_only=False) for c in cols[:3])
-            part = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (block[1:] != block[:-1]) | (streamed[1:] != streamed[:-1]), [True]]))
-            packed = np.array(cols[7].to_pylist(), np.int64).view(np.uint64)
-            for at, to in zip(part[:-1], part[1:], strict=True):
-                ids, roots = (np.array(c.slice(at, to - at).to_pylist(), "S16") for c in cols[4:6])
-                mine = (ids, roots, cols[3].slice(at, to - at).to_numpy(zero_copy_only=False), cols[6].slice(at, to - at).to_numpy(), packed[at:to])
-                if not streamed[at]:
-                    if key != (band[at], block[at]):
-                        key, held = (band[at], block[at]), []
-                    held.append(mine)
-                elif held:
-                    left = held[0] if len(held) == 1 else tuple(np.concatenate(x) for x in zip(*held, strict=True))
-                    held = [left]
-                    yield from _similar(left, mine, least)
-
-    return in_arrow(dealt, run, "a binary, chunk long, root binary, found array<binary>")
-
-
-def _similar(left: tuple, right: tuple, least: float) -> Iterator[dict]:
-    """Candidates of left's classes among right's, by chunk."""
-    need = LANES * (1 - least * (1 - 2.0**-BITS) - 2.0**-BITS)  # most lanes that may differ
-    for at in range(0, len(right[0]), 512):
-        ids, roots, inside, chunks, packed = (x[at : at + 512] for x in right)
-        differ = np.zeros((len(left[0]), len(ids)), np.uint8)
-        for w in range(packed.shape[1]):
-            x = left[4][:, w, None] ^ packed[None, :, w]
-            x |= x >> np.uint64(2)
-            x |= x >> np.uint64(1)
-            differ += np.bitwise_count(x & np.uint64(_LANE))
-        hit = (differ <= need) & (left[1][:, None] != roots[None, :])
-        hit &= inside[None, :] | (left[0][:, None] < ids[None, :])
-        i, j = np.nonzero(hit)
-        if len(i):
-            order = np.lexsort((chunks[j], i))
-            i, j = i[order], j[order]
-            cut = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (chunks[j][1:] != chunks[j][:-1])]))
-            names = [_id(x) for x in ids]
-            yield {"a": [_id(left[0][k]) for k in i[cut]], "chunk": chunks[j[cut]], "root": [_id(left[1][k]) for k in i[cut]], "found": [[names[k] for k in g] for g in np.split(j, cut[1:])]}
-
-
-def _id(x: np.bytes_) -> bytes:
-    return bytes(x).ljust(16, b"\0")  # numpy drops zeros at the end
-
-
-def _test_chunks(lists: DataFrame, texts: DataFrame, placed: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
-    """Links (a, b) of roots that the candidate lists hold, enough of them to join all that belongs together."""
-    wanted = lists.groupBy("a", "chunk").agg(F.first("root").alias("root"), F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
-    asked = wanted.join(texts.select(F.col("class_id").alias("id"), "text"), F.col("a") == F.col("id")).select("chunk", F.lit(True).alias("asks"), "id", "root", "text", "found")
-    used = lists.select(F.col("chunk").alias("used")).distinct()
-    there = texts.join(placed.join(used, F.col("chunk") == F.col("used"), "left_semi").select(F.col("class_id").alias("id"), "root", "chunk"), F.col("class_id") == F.col("id"))
-    there = there.select("chunk", F.lit(False).alias("asks"), "id", "root", "text", F.lit(None).cast("array<binary>").alias("found"))
-    dealt = there.union(asked).repartition(spread(scratch.spark), "chunk").sortWithinPartitions("chunk", "asks")
+            keys, roots, others = (batch.column(i).to_pylist() for i in range(3))
+            lists = batch.column(3)
+            d, ids, chunks = (lists.flatten().field(i).to_pylist() for i in range(3))
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            for i, a in enumerate(keys):
+                if a != now:
+                    if now is not None:
+                        yield best()
+                    now, root, more, found = a, roots[i], False, {}
+                more |= others[i]
+                here = slice(ends[i], ends[i + 1])
+                found.update(zip(zip(d[here], ids[here], strict=True), chunks[here], strict=True))
+        if now is not None:
+            yield best()
+
+    return in_arrow(dealt, run, _NAMED)
+
+
+_NAMED = "a binary, root binary, more boolean, found array<struct<d:int,id:binary,chunk:long>>"
+
+
+def _halves(ids: pa.Array) -> np.ndarray:
+    """16-byte ids as two numbers that sort like the bytes."""
+    return np.frombuffer(b"".join(ids.to_pylist()), ">u8").reshape(-1, 2).astype(np.uint64)
+
+
+class _Table:
+    """A block of classes, and the best candidates met so far by each."""
+
+    def __init__(self, few: int, rule: Rule):
+        self.few, self.rule, self.seats = few, rule, []
+        least = rule.num / rule.den - MARGIN
+        self.differ = LANES * (1 - least * (1 - 2.0**-BITS) - 2.0**-BITS)  # most lanes of the first signature that may differ
+
+    @staticmethod
+    def _read(rows: pa.RecordBatch) -> list:
+        packed = np.array(rows.column(8).to_pylist(), np.int64).view(np.uint64)
+        wide = np.frombuffer(b"".join(rows.column(9).to_pylist()), "<u8").reshape(len(rows), -1)
+        return [_halves(rows.column(5)), _halves(rows.column(6)), packed, wide, rows.column(4).to_numpy(zero_copy_only=False), rows.column(7).to_numpy(), rows.column(10).to_numpy()]
+
+    def seat(self, rows: pa.RecordBatch) -> None:
+        last = [x or b"\0" * 16 for x in rows.column(12).to_pylist()]
+        self.seats.append([*self._read(rows), rows.column(11).fill_null(-1).to_numpy(), _halves(pa.array(last))])
+
+    def _sit(self) -> None:
+        """Once all have come: nobody has met anyone yet."""
+        if isinstance(self.seats, list):
+            self.seats = tuple(np.concatenate(x) for x in zip(*self.seats, strict=True))
+            self.found = [np.zeros(0, np.int64) for _ in range(3)] + [np.zeros((0, 2), np.uint64)]  # who, distance, chunk, id
+            self.worst = np.full(len(self.seats[0]), np.iinfo(np.int64).max)
+            self.more = np.zeros(len(self.seats[0]), bool)
+
+    def meet(self, rows: pa.RecordBatch) -> None:
+        self._sit()
+        met = self._read(rows)
+        ids, roots, packed, _, _, _, size, *_ = self.seats
+        for at in range(0, len(rows), 256):
+            part = [x[at : at + 256] for x in met]
+            other_ids, other_roots, other_packed, _, other_inside, _, other_size = part
+            differ = np.zeros((len(ids), len(other_ids)), np.uint8)
+            for w in range(packed.shape[1]):
+                x = packed[:, w, None] ^ other_packed[None, :, w]
+                x |= x >> np.uint64(2)
+                x |= x >> np.uint64(1)
+                differ += np.bitwise_count(x & np.uint64(_LANE))
+            hit = (differ <= self.differ) & (roots[:, None, :] != other_roots[None, :, :]).any(axis=2)
+            hit &= self.rule.den * np.minimum(size[:, None], other_size[None, :]) >= self.rule.num * np.maximum(size[:, None], other_size[None, :])
+            # Of two classes that are both outside, the one with the less id asks.
+            less = (ids[:, None, 0] < other_ids[None, :, 0]) | (ids[:, None, 0] == other_ids[None, :, 0]) & (ids[:, None, 1] < other_ids[None, :, 1])
+            i, j = np.nonzero(hit & (other_inside[None, :] | less))
+            for cut in range(0, len(i), 1 << 16):
+                self._judge(i[cut : cut + (1 << 16)], j[cut : cut + (1 << 16)], part)
+
+    def _judge(self, i: np.ndarray, j: np.ndarray, part: list) -> None:
+        _, _, _, wide, _, _, size, d, last = self.seats
+        other_ids, _, _, other_wide, _, chunks, other_size = part
+        similar, near = wide_estimate(wide[i], other_wide[j], size[i] + other_size[j], self.rule.num / self.rule.den)
+        far = np.rint((1 - similar) * 10_000).astype(np.int64)
+        id_ = other_ids[j]
+        behind = (id_[:, 0] > last[i, 0]) | (id_[:, 0] == last[i, 0]) & (id_[:, 1] > last[i, 1])
+        after = near & ((far > d[i]) | (far == d[i]) & behind)
+        beaten = after & (far > self.worst[i])
+        self.more[i[beaten]] = True
+        after &= ~beaten
+        if not after.any():
+            return
+        who, distance, chunk, id_ = (np.concatenate(x) for x in zip(self.found, (i[after], far[after], chunks[j[after]], id_[after]), strict=True))
+        order = np.lexsort((id_[:, 1], id_[:, 0], distance, who))
+        who, distance, chunk, id_ = who[order], distance[order], chunk[order], id_[order]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        self.more[who[place >= self.few]] = True
+        kept = place < self.few
+        self.found = [who[kept], distance[kept], chunk[kept], id_[kept]]
+        full = place == self.few - 1
+        self.worst[who[full]] = distance[full]
+
+    def best(self) -> Iterator[dict]:
+        self._sit()
+        who, distance, chunk, id_ = self.found
+        if not len(who):
+            return
+        first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+        of = who[first]
+        each = pa.StructArray.from_arrays([pa.array(distance, pa.int32()), pa.array(_bytes(id_), pa.binary()), pa.array(chunk)], ["d", "id", "chunk"])
+        found = pa.ListArray.from_arrays(pa.array(np.append(first, len(who)), pa.int32()), each)
+        yield {"a": _bytes(self.seats[0][of]), "root": _bytes(self.seats[1][of]), "more": self.more[of], "found": found}
+
+
+def _bytes(halves: np.ndarray) -> list[bytes]:
+    flat = halves.astype(">u8").tobytes()
+    return [flat[i : i + 16] for i in range(0, len(flat), 16)]
+
+
+def _test_chunks(asked: DataFrame, members: DataFrame, texts: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
+    """Links (a, b) of roots among the asked pairs, enough of them to join all that belongs together.
+
+    asked: a, root, chunk, found (ids of that chunk), a row for each a and chunk. members: class_id,
+    root, chunk. A chunk that many texts ask for is dealt to several tasks, each with its members.
+    """
+    own = texts.select(F.col("class_id").alias("id"), "n_bytes", "text")
+    asks = asked.join(own.drop("text"), F.col("a") == F.col("id")).drop("id")
+    used = asks.groupBy("chunk").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_bytes") / F.lit(CHUNK_BYTES))).alias("parts")).select(F.col("chunk").alias("used"), "parts")
+    wanted = asked.select(F.explode("found").alias("wanted")).distinct()
+    there = members.join(wanted, F.col("class_id") == F.col("wanted"), "left_semi").join(used, F.col("chunk") == F.col("used"))
+    there = there.select("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"), "class_id", "root", F.lit(None).cast("array<binary>").alias("found"))
+    asking = asked.join(used, F.col("chunk") == F.col("used")).select("chunk", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"), F.lit(True).alias("asks"), F.col("a").alias("class_id"), "root", "found")
+    both = there.union(asking).join(own, F.col("class_id") == F.col("id")).select("chunk", "part", "asks", "class_id", "root", "text", "found")
+    dealt = both.repartition(spread(scratch.spark), "chunk", "part").sortWithinPartitions("chunk", "part", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        now, members, parent = None, {}, {}
+        now, held, parent = None, {}, {}
 
-        def root(x: bytes) -> bytes:
+        def top(x: bytes) -> bytes:
             while parent.get(x, x) != x:
                 parent[x] = parent.get(parent[x], parent[x])
                 x = parent[x]
             return x
 
         for block, data, offsets in blocks(batches):
-            chunk, asks = block.column(0).to_pylist(), block.column(1).to_pylist()
-            ids, roots, found = (block.column(i).to_pylist() for i in (2, 3, 5))
-            sets, links = None, {"a": [], "b": []}
-            for i in range(len(block)):
-                if chunk[i] != now:
-                    now, members, parent = chunk[i], {}, {}
+            at, asks = list(zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True)), block.column(2).to_pylist()
+            ids, roots, found = (block.column(i).to_pylist() for i in (3, 4, 6))
+            sets, links = shingle_sets(data, offsets, rule.words), {"a": [], "b": []}
+            for i, mine in enumerate(sets):
+                if at[i] != now:
+                    now, held, parent = at[i], {}, {}
                 if not asks[i]:
-                    members[ids[i]] = [roots[i], data[offsets[i] : offsets[i + 1]].copy(), None]
+                    held[ids[i]] = (roots[i], mine)
                     continue
-                if sets is None:
-                    sets = shingle_sets(data, offsets, rule.words)
-                own, size = sets[i], len(sets[i])
                 for other in found[i]:
-                    if other not in members:
-                        continue  # a repeated row of the same class
-                    entry = members[other]
-                    if root(roots[i]) == root(entry[0]):
-                        continue
-                    if entry[2] is None:
-                        entry[2], entry[1] = shingle_sets(entry[1], np.array([0, len(entry[1])]), rule.words)[0], None
-                    n = len(entry[2])
-                    if rule.den * min(size, n) < rule.num * max(size, n):
+                    root, theirs = held[other]
+                    low, high = sorted((len(mine), len(theirs)))
+                    if top(roots[i]) == top(root) or rule.den * low < rule.num * high:
                         continue
-                    common = len(np.intersect1d(own, entry[2], assume_unique=True))
-                    if rule.den * common >= rule.num * (size + n - common):
+                    common = len(np.intersect1d(mine, theirs, assume_unique=True))
+                    if rule.den * common >= rule.num * (low + high - common):
                         links["a"].append(roots[i])
-                        links["b"].append(entry[0])
-                        parent[root(roots[i])] = root(entry[0])
+                        links["b"].append(root)
+                        parent[top(roots[i])] = top(root)
             if links["a"]:
                 yield links
 
     return in_arrow(dealt, run, "a binary, b binary")
 
 
+def _rejoin(placed: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """placed with the roots that the links between its roots give."""
+    roots = connected(links, scratch).select("node", F.col("root").alias("then"))
+    rest = [c for c in placed.columns if c != "root"]
+    return scratch.keep(placed.join(roots, F.col("root") == F.col("node"), "left").select(*rest, F.coalesce("then", "root").alias("root")))
+
+
+def _texts(rows: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
+    """class_id, n_bytes, wide, text of the text that stands for each class."""
+    wanted = signed.select("class_id", F.col("rep.text_key").alias("rep_key"), F.col("rep.doc_id").alias("rep_id"))
+    there = rows.filter("text IS NOT NULL").withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    found = there.join(wanted, (F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("class_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        seen: set[bytes] = set()  # rows that repeat an id and a text lie in one task
+        for block, data, offsets in blocks(batches):
+            ids = block.column(0).to_pylist()
+            new = [i for i, x in enumerate(ids) if x not in seen and not seen.add(x)]
+            wide = [wide_signature(s) for s in shingle_sets(data, offsets, rule.words)]
+            kept = block.take(pa.array(new, pa.int64()))
+            yield {"class_id": kept.column(0), "n_bytes": np.diff(offsets)[new], "wide": [wide[i] for i in new], "text": kept.column(1)}
+
+    return in_arrow(found, run, "class_id binary, n_bytes long, wide binary, text string")
+
+
 def group_duplicates(df: DataFrame, scratch: Scratch, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text", with_keys: bool = False) -> DataFrame:
     """One row for each row of df: doc_id, n_shingles, component_id, kept; with_keys, also text_key and root.
 
@@ -276,39 +432,51 @@ def group_duplicates(df: DataFrame, scratch: Scratch, rule: Rule = Rule(), id_co
     sketched = scratch.keep(sketch(rows, rule))
     full = sketched.filter("class_id IS NOT NULL")
     # One text stands for a class: the least key, and the least id among its rows.
-    classes = scratch.keep(full.groupBy("class_id").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("text_key", "doc_id")).alias("rep"), F.min("packed").alias("packed"), F.min("bands").alias("bands")))
+    classes = scratch.keep(full.groupBy("class_id").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("text_key", "doc_id")).alias("rep"), F.min("packed").alias("packed"), F.min("bands").alias("bands"), F.min("n_shingles").alias("n_shingles")))
     in_bucket = classes.select("class_id", F.explode("bands").alias("band"))
     buckets = in_bucket.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("class_id").alias("leader")).filter("n > 1").select(F.col("band").alias("of"), "leader")
     active = scratch.keep(in_bucket.join(buckets, F.col("band") == F.col("of")).select("band", "class_id", "leader"))
-    signed = scratch.keep(classes.join(active.select("class_id").distinct(), "class_id", "left_semi").select("class_id", "rep", "packed"))
-    wanted = signed.select("class_id", F.col("rep.text_key").alias("rep_key"), F.col("rep.doc_id").alias("rep_id"))
-    there = rows.filter("text IS NOT NULL").withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    texts = scratch.keep(there.join(wanted, (F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("class_id", "text"))
-    least = rule.num / rule.den - MARGIN
+    signed = scratch.keep(classes.join(active.select("class_id").distinct(), "class_id", "left_semi").select("class_id", "rep", "packed", "n_shingles"))
+    texts = scratch.keep(_texts(rows, signed, rule))
 
     # 1. Everyone's most promising leader.
     stars = active.filter("class_id <> leader").select(F.col("class_id").alias("a"), F.col("leader").alias("b")).distinct()
     left = signed.select(F.col("class_id").alias("a"), F.col("packed").alias("pa"))
     right = signed.select(F.col("class_id").alias("b"), F.col("packed").alias("pb"))
-    judged = stars.join(left, "a").join(right, "b").withColumn("e", estimate("pa", "pb")).filter(F.col("e") >= least)
+    judged = stars.join(left, "a").join(right, "b").withColumn("e", estimate("pa", "pb")).filter(F.col("e") >= rule.num / rule.den - MARGIN)
     best = scratch.keep(judged.groupBy("a").agg(F.max_by("b", F.struct("e", "b")).alias("b")))
-    links = scratch.keep(_confirm(best, texts, rule))
+    chunk = F.xxhash64("b")
+    leaders = best.select("b").distinct().select(F.col("b").alias("class_id"), F.col("b").alias("root"), chunk.alias("chunk"))
+    links = scratch.keep(_test_chunks(best.select("a", F.col("a").alias("root"), chunk.alias("chunk"), F.array("b").alias("found")), leaders, texts, scratch, rule))
     roots = scratch.keep(connected(links, scratch))
-    # Classes that promising leaders connect are likely to meet; CHUNK of them share a chunk.
-    alike = scratch.keep(connected(best, scratch)).select(F.col("node").alias("of"), F.col("root").alias("leader"))
-    near = signed.join(alike, F.col("class_id") == F.col("of"), "left").select("class_id", "packed", F.coalesce("leader", "class_id").alias("leader"))
-    many = near.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).alias("parts")).select(F.col("leader").alias("l"), "parts")
-    placed = near.join(many, F.col("leader") == F.col("l")).join(roots, F.col("class_id") == F.col("node"), "left")
-    placed = scratch.keep(placed.select("class_id", "packed", F.coalesce("root", "class_id").alias("root"), F.xxhash64("leader", F.pmod(F.xxhash64("class_id"), F.col("parts"))).alias("chunk")))
+    # Classes of one component, and those whose leader is in it, are likely to meet: they share chunks.
+    placed = signed.select("class_id", "packed", "n_shingles").join(texts.select(F.col("class_id").alias("id"), "n_bytes", "wide"), F.col("class_id") == F.col("id")).drop("id")
+    placed = placed.join(roots, F.col("class_id") == F.col("node"), "left").select("class_id", "packed", "n_shingles", "n_bytes", "wide", F.coalesce("root", "class_id").alias("root"))
+    led = best.join(roots.select(F.col("node").alias("n"), F.col("root").alias("its_root")), F.col("b") == F.col("n"), "left").select(F.col("a").alias("of"), F.coalesce("its_root", "b").alias("near"))
+    placed = scratch.keep(placed.join(led, F.col("class_id") == F.col("of"), "left").select("class_id", "packed", "n_shingles", "n_bytes", "wide", "root", F.when(F.col("root") == F.col("class_id"), F.coalesce("near", "root")).otherwise(F.col("root")).alias("near")))
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(CHUNK), F.sum("n_bytes") / F.lit(CHUNK_BYTES)))
+    many = placed.groupBy("near").agg(parts.alias("parts")).select(F.col("near").alias("l"), "parts")
+    placed = placed.join(many, F.col("near") == F.col("l")).select("class_id", "packed", "n_shingles", "wide", "root", F.xxhash64("near", F.pmod(F.xxhash64("class_id"), F.col("parts"))).alias("chunk"))
+    placed = scratch.keep(placed)
+    scratch.drop(best, links, roots)
 
     # 2. and 3. All that those links left open.
-    members = active.select("band", "class_id").join(placed, "class_id").select("band", "class_id", "root", "chunk", "packed")
-    lists = scratch.keep(_meet(members, scratch, least))
-    more = scratch.keep(_test_chunks(lists, texts, placed, scratch, rule))
-    scratch.drop(active, lists)
-    if not more.isEmpty():
-        roots = scratch.keep(connected(links.union(more), scratch))
-
+    arena = _arena(active.select("band", "class_id").join(placed.select("class_id", "root"), "class_id"), scratch)
+    scratch.drop(active)
+    live = arena.filter("NOT inside").select("class_id", F.lit(None).cast("struct<d:int,id:binary>").alias("last")).distinct()
+    few = FIRST
+    while not live.isEmpty():
+        met = scratch.keep(_meet(arena, live, placed, scratch, few, rule))
+        named = scratch.keep(_best_of(met, scratch, few))
+        asked = named.select("a", "root", F.explode("found").alias("f")).groupBy("a", "root", F.col("f.chunk").alias("chunk")).agg(F.collect_list("f.id").alias("found"))
+        more = scratch.keep(_test_chunks(asked, placed.select("class_id", "root", "chunk"), texts, scratch, rule))
+        if not more.isEmpty():
+            placed = _rejoin(placed, more, scratch)
+        live = scratch.keep(named.filter("more").select(F.col("a").alias("class_id"), F.element_at("found", -1).alias("f")).select("class_id", F.struct("f.d", "f.id").alias("last")))
+        scratch.drop(met, named, more)
+        few = min(few * MORE, MOST)
+
+    roots = placed.select(F.col("class_id").alias("node"), "root")
     labels = classes.join(roots, F.col("class_id") == F.col("node"), "left").select("class_id", "first_id", F.coalesce("root", "class_id").alias("root"))
     least_id = labels.groupBy("root").agg(F.min("first_id").alias("component"))
     labels = labels.join(least_id, "root").select(F.col("class_id").alias("of_class"), "component", "root")
