@@ -217,15 +217,19 @@ def _meet(arena: DataFrame, live: DataFrame, placed: DataFrame, scratch: Scratch
 
 
 def _best_of(met: DataFrame, scratch: Scratch, few: int) -> DataFrame:
-    """One row for each class that asks, of the same form: its few best in all of its buckets."""
+    """a, root, chunk, found, more, d, last: for each class that asks, the ids of its few best in all of its
+    buckets, a row for each chunk of them; the first row tells whether there are more, behind (d, last)."""
     dealt = met.repartition(spread(scratch.spark), "a").sortWithinPartitions("a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         now, root, more, found = None, None, False, {}
 
         def best() -> dict:
-            chosen = sorted(found)[:few]
-            return {"a": [now], "root": [root], "more": [more or len(found) > few], "found": [[{"d": d, "id": i, "chunk": found[d, i]} for d, i in chosen]]}
+            chosen, by_chunk = sorted(found)[:few], {}
+            for x in chosen:
+                by_chunk.setdefault(found[x], []).append(x[1])
+            n = len(by_chunk)
+            return {"a": [now] * n, "root": [root] * n, "chunk": [*by_chunk], "found": [*by_chunk.values()], "more": [more or len(found) > few] + [False] * (n - 1), "d": [chosen[-1][0]] * n, "last": [chosen[-1][1]] * n}
 
         for batch in batches:
             keys, roots, others = (batch.column(i).to_pylist() for i in range(3))
@@ -243,7 +247,7 @@ def _best_of(met: DataFrame, scratch: Scratch, few: int) -> DataFrame:
         if now is not None:
             yield best()
 
-    return in_arrow(dealt, run, _NAMED)
+    return in_arrow(dealt, run, "a binary, root binary, chunk long, found array<binary>, more boolean, d int, last binary")
 
 
 _NAMED = "a binary, root binary, more boolean, found array<struct<d:int,id:binary,chunk:long>>"
@@ -350,8 +354,7 @@ def _test_chunks(asked: DataFrame, members: DataFrame, texts: DataFrame, scratch
     own = texts.select(F.col("class_id").alias("id"), "n_bytes", "text")
     asks = asked.join(own.drop("text"), F.col("a") == F.col("id")).drop("id")
     used = asks.groupBy("chunk").agg(F.greatest(F.lit(1), F.ceil(F.sum("n_bytes") / F.lit(CHUNK_BYTES))).alias("parts")).select(F.col("chunk").alias("used"), "parts")
-    wanted = asked.select(F.explode("found").alias("wanted")).distinct()
-    there = members.join(wanted, F.col("class_id") == F.col("wanted"), "left_semi").join(used, F.col("chunk") == F.col("used"))
+    there = members.join(used, F.col("chunk") == F.col("used"))
     there = there.select("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"), "class_id", "root", F.lit(None).cast("array<binary>").alias("found"))
     asking = asked.join(used, F.col("chunk") == F.col("used")).select("chunk", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"), F.lit(True).alias("asks"), F.col("a").alias("class_id"), "root", "found")
     both = there.union(asking).join(own, F.col("class_id") == F.col("id")).select("chunk", "part", "asks", "class_id", "root", "text", "found")
@@ -468,15 +471,15 @@ def group_duplicates(df: DataFrame, scratch: Scratch, rule: Rule = Rule(), id_co
     while not live.isEmpty():
         met = scratch.keep(_meet(arena, live, placed, scratch, few, rule))
         named = scratch.keep(_best_of(met, scratch, few))
-        asked = named.select("a", "root", F.explode("found").alias("f")).groupBy("a", "root", F.col("f.chunk").alias("chunk")).agg(F.collect_list("f.id").alias("found"))
-        more = scratch.keep(_test_chunks(asked, placed.select("class_id", "root", "chunk"), texts, scratch, rule))
+        more = scratch.keep(_test_chunks(named.select("a", "root", "chunk", "found"), placed.select("class_id", "root", "chunk"), texts, scratch, rule))
         if not more.isEmpty():
             placed = _rejoin(placed, more, scratch)
-        live = scratch.keep(named.filter("more").select(F.col("a").alias("class_id"), F.element_at("found", -1).alias("f")).select("class_id", F.struct("f.d", "f.id").alias("last")))
+        live = scratch.keep(named.filter("more").select(F.col("a").alias("class_id"), F.struct("d", F.col("last").alias("id")).alias("last")))
         scratch.drop(met, named, more)
         few = min(few * MORE, MOST)
 
     roots = placed.select(F.col("class_id").alias("node"), "root")
+    scratch.drop(arena, texts, signed)
     labels = classes.join(roots, F.col("class_id") == F.col("node"), "left").select("class_id", "first_id", F.coalesce("root", "class_id").alias("root"))
     least_id = labels.groupBy("root").agg(F.min("first_id").alias("component"))
     labels = labels.join(least_id, "root").select(F.col("class_id").alias("of_class"), "component", "root")
