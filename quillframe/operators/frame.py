@@ -2,14 +2,19 @@
 
 ``LazyFrame`` only adds to the plan. ``EagerFrame`` has the same operators and runs each
 result at once, keeping it in executor memory or disk (``persist``), from where lost blocks
-are recomputed. Neither holds an engine or an optimizer of its own.
+are recomputed; it is given back when the frame is collected, or by ``release``. Neither holds an
+engine or an optimizer of its own.
 """
 
 from __future__ import annotations
 
+import contextlib
+import weakref
 from collections.abc import Mapping, Sequence
 from typing import Any
 
+import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -117,17 +122,32 @@ class LazyFrame(_Frame):
         return plans.explain(self._df, path, optimized)
 
 
+def _unpersist(df: DataFrame) -> None:
+    with contextlib.suppress(Py4JError, OSError, AttributeError):  # the session may have ended first
+        df.unpersist()
+
+
 class EagerFrame(_Frame):
-    def __init__(self, df: DataFrame | None = None):
-        if df is None:
+    """df: a Spark DataFrame, an Arrow table, or nothing for an empty frame."""
+
+    def __init__(self, df: DataFrame | pa.Table | None = None):
+        if df is None or isinstance(df, pa.Table):
             from quillframe.sources.readers import active_session
 
-            df = active_session().createDataFrame([], T.StructType([]))
+            df = active_session().createDataFrame([], T.StructType([])) if df is None or not df.num_columns else active_session().createDataFrame(df)
         super().__init__(df)
+        self._release = None
         if not df.is_cached:
             df.persist(StorageLevel.MEMORY_AND_DISK)
+            self._release = weakref.finalize(self, _unpersist, df)
+            self._release.atexit = False
         self._rows = df.count()
 
+    def release(self) -> None:
+        """Gives back what is kept; later uses compute it anew."""
+        if self._release is not None:
+            self._release()
+
     def lazy(self) -> LazyFrame:
         return LazyFrame(self._df)
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillframe import LazyFrame, col, lit, scan_parquet
+from quillframe import EagerFrame, LazyFrame, col, lit, scan_parquet
 from quillframe.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,7 +54,7 @@ _add("filter_and_or_not", "lineitem", lambda f: f.filter(((_holed() > 4) | (col(
 _add("kleene_truth", "lineitem", lambda f: f.select_exprs([col("l_orderkey"), ((_holed() > 2) & (col("l_quantity") > 25)).alias("both"), ((_holed() > 2) | (col("l_quantity") > 25)).alias("either"), (~(_holed() > 2)).alias("neither")]), f"SELECT l_orderkey, {_holed_sql} > 2 AND l_quantity > 25 AS both, {_holed_sql} > 2 OR l_quantity > 25 AS either, NOT ({_holed_sql} > 2) AS neither FROM lineitem")
 _add("compare_bool_number", "lineitem", lambda f: f.select_exprs([col("l_orderkey"), ((col("l_quantity") > 25) == lit(1)).alias("same")]), "SELECT l_orderkey, (l_quantity > 25)::BIGINT = 1 AS same FROM lineitem")
 _add("filter_string_eq", "customer", lambda f: f.filter(col("c_mktsegment") == "BUILDING"), "SELECT * FROM customer WHERE c_mktsegment = 'BUILDING'")
-_add("filter_string_lt", "nation", lambda f: f.filter(col("n_name") < "J"), "SELECT * FROM nation WHERE n_name < 'J'")
+_add("filter_string_lt", "nation", lambda f: f.filter(col("n_name") < "NATION_12"), "SELECT * FROM nation WHERE n_name < 'NATION_12'")
 _add("filter_true", "region", lambda f: f.filter(lit(True)), "SELECT * FROM region")
 _add("filter_false", "region", lambda f: f.filter(lit(False)), "SELECT * FROM region WHERE FALSE")
 _add("is_null", "lineitem", lambda f: f.select_exprs([col("l_orderkey"), _holed().is_null().alias("gone")]), f"SELECT l_orderkey, {_holed_sql} IS NULL AS gone FROM lineitem")
@@ -103,9 +107,9 @@ _many("join_suffix_right", lambda t: t("documents").select_exprs([col("doc_id").
 _many("join_dup_keys", lambda t: t("nation").select_exprs([col("n_regionkey").alias("k"), col("n_name")]).join(t("supplier").select_exprs([(col("s_nationkey") % 5).alias("k64"), col("s_suppkey")]).join(t("region").select_exprs([(col("r_regionkey") + 0).alias("k64"), col("r_regionkey").alias("k")]), ["k64"]).select(["k", "s_suppkey"]), ["k"]), "SELECT n_regionkey AS k, n_name, s_suppkey FROM nation JOIN supplier ON n_regionkey = s_nationkey % 5")
 _many("join_self", lambda t: t("nation").join(t("nation"), ["n_regionkey"]), "SELECT a.n_regionkey, a.n_nationkey, a.n_name, b.n_nationkey AS n_nationkey_right, b.n_name AS n_name_right FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
 # Sort, head, top-k
-_add("sort_asc_nulls_last", "lineitem", lambda f: f.with_column("k", (col("l_orderkey") + 0) / (col("l_linenumber") - 1)).select(["k"]).sort(["k"]).head(2000), "SELECT (l_orderkey // NULLIF(l_linenumber - 1, 0))::BIGINT AS k FROM lineitem ORDER BY k ASC NULLS LAST LIMIT 2000")
-_add("sort_desc_nulls_first", "lineitem", lambda f: f.with_column("k", (col("l_orderkey") + 0) / (col("l_linenumber") - 1)).select(["k"]).sort(["k"], False).head(2000), "SELECT (l_orderkey // NULLIF(l_linenumber - 1, 0))::BIGINT AS k FROM lineitem ORDER BY k DESC NULLS FIRST LIMIT 2000")
-_add("sort_multi", "part", lambda f: f.sort(["p_brand", "p_partkey"]).head(300), "SELECT * FROM part ORDER BY p_brand, p_partkey LIMIT 300")
+_add("sort_asc_nulls_last", "lineitem", lambda f: f.with_column("k", (col("l_orderkey") + 0) / (col("l_linenumber") - 1)).select(["k"]).sort(["k"]), "SELECT (l_orderkey // NULLIF(l_linenumber - 1, 0))::BIGINT AS k FROM lineitem ORDER BY k ASC NULLS LAST")
+_add("sort_desc_nulls_first", "lineitem", lambda f: f.with_column("k", (col("l_orderkey") + 0) / (col("l_linenumber") - 1)).select(["k"]).sort(["k"], False), "SELECT (l_orderkey // NULLIF(l_linenumber - 1, 0))::BIGINT AS k FROM lineitem ORDER BY k DESC NULLS FIRST")
+_add("sort_multi", "part", lambda f: f.sort(["p_brand", "p_partkey"]), "SELECT * FROM part ORDER BY p_brand, p_partkey")
 _add("topk", "orders", lambda f: f.sort(["o_totalprice", "o_orderkey"], False).head(25), "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 25")
 _add("head_zero", "orders", lambda f: f.head(0), "SELECT * FROM orders LIMIT 0")
 
@@ -121,9 +125,24 @@ QUERIES["from_columns_dict"] = lambda spark, sf: _columns(spark, sf, True)
 SQL["from_columns_list"] = SQL["from_columns_dict"] = "SELECT CAST(k AS BIGINT) AS k, b, CAST(a AS DOUBLE) AS a FROM (VALUES (1, 'x', 0.5), (2, '', NULL), (NULL, NULL, -1.0)) t(k, b, a)"
 
 
+QUERIES["from_columns_arrow"] = lambda spark, sf: EagerFrame(pa.table({"k": [1, 2, None], "b": ["x", "", None], "a": [0.5, None, -1.0]})).df
+QUERIES["empty_frame"] = lambda spark, sf: spark.createDataFrame([(f.num_rows(), f.num_cols()) for f in [EagerFrame()]], "n_rows long, n_cols long")
+SQL["from_columns_arrow"], SQL["empty_frame"] = SQL["from_columns_list"], "SELECT 0::BIGINT AS n_rows, 0::BIGINT AS n_cols"
+
+
+def _shared(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share; a local master may do with a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="sink-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{base}/sink-{uuid.uuid4().hex}"
+
+
 def _round_trip(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/quillframe"
-    to, nation = f"{base}/sink-{uuid.uuid4().hex}", _table(spark, sf, "nation")
+    to, nation = _shared(spark), _table(spark, sf, "nation")
     if kind == "csv":
         nation.sink_csv(to)
         return readers.csv_frame(to, nation.schema(), spark)
@@ -131,9 +150,25 @@ def _round_trip(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     return readers.parquet_frame(to, spark)
 
 
+def _eager_round_trip(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """Eager read, write in one file and read again; CSV types are inferred."""
+    to, orders = _shared(spark), readers.read_parquet(f"{sf}/orders.parquet", spark)
+    picked = orders.select(["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"])
+    if kind == "csv":
+        picked.write_csv(to, single_file=True)
+        return readers.read_csv(to, spark=spark).df
+    picked.write_parquet(to, chunk_size=5000, single_file=True)
+    return readers.read_parquet(to, spark).df
+
+
 QUERIES["csv_roundtrip"] = lambda spark, sf: _round_trip(spark, sf, "csv")
 QUERIES["parquet_roundtrip"] = lambda spark, sf: _round_trip(spark, sf, "parquet")
 SQL["csv_roundtrip"] = SQL["parquet_roundtrip"] = "SELECT * FROM nation"
+QUERIES["eager_csv_inferred"] = lambda spark, sf: _eager_round_trip(spark, sf, "csv")
+QUERIES["eager_parquet"] = lambda spark, sf: _eager_round_trip(spark, sf, "parquet")
+SQL["eager_csv_inferred"] = SQL["eager_parquet"] = "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM orders"
+QUERIES["collect_head"] = lambda spark, sf: _table(spark, sf, "orders").sort(["o_orderkey"]).collect().head().df
+SQL["collect_head"] = "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10"
 
 
 # Pipelines

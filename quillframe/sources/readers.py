@@ -19,15 +19,16 @@ def active_session() -> SparkSession:
     return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
 
-def csv_frame(path: str, schema: T.StructType | None = None, spark: SparkSession | None = None) -> DataFrame:
+def csv_frame(path: str, schema: T.StructType | None = None, spark: SparkSession | None = None, multi_line: bool = False) -> DataFrame:
     """Reads a CSV with a header. With a schema there is no inference pass.
 
-    Without one, every column is read as text and its type decided from all its values in one
+    Files are split among tasks at line ends. A file with line ends inside quoted fields needs
+    multi_line, and is then one task's, however large. Without a schema, every column is read as text and its type decided from all its values in one
     aggregate: null spellings count as null, whole numbers become bigint, times have no zone,
     and an empty field of a text column stays the empty string.
     """
     spark = spark or active_session()
-    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", multi_line).option("escape", '"')
     if schema is not None:
         return reader.schema(schema).csv(path)
     text = reader.option("inferSchema", False).option("nullValue", "\u0000").option("emptyValue", "").csv(path)
@@ -39,7 +40,7 @@ def csv_frame(path: str, schema: T.StructType | None = None, spark: SparkSession
     for i, n in enumerate(names):
         value = F.when(~F.col(n).isin(*NULL_SPELLINGS), F.col(n))
         day = value.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.expr(f"try_cast({n} as date)").isNotNull()
-        moment = value.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2})?$") & F.expr(f"try_cast({n} as timestamp_ntz)").isNotNull()
+        moment = value.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?$") & F.expr(f"try_cast({n} as timestamp_ntz)").isNotNull()
         kinds = {
             "bigint": value.rlike(r"^-?\d+$") & F.expr(f"try_cast({n} as bigint)").isNotNull(),
             "boolean": F.lower(value).isin("true", "false"),
@@ -65,10 +66,10 @@ def parquet_frame(path: str, spark: SparkSession | None = None) -> DataFrame:
     return (spark or active_session()).read.parquet(path)
 
 
-def scan_csv(path: str, schema: T.StructType | None = None, spark: SparkSession | None = None):
+def scan_csv(path: str, schema: T.StructType | None = None, spark: SparkSession | None = None, multi_line: bool = False):
     from quillframe.operators.frame import LazyFrame
 
-    return LazyFrame(csv_frame(path, schema, spark))
+    return LazyFrame(csv_frame(path, schema, spark, multi_line))
 
 
 def scan_parquet(path: str, spark: SparkSession | None = None):
@@ -77,10 +78,10 @@ def scan_parquet(path: str, spark: SparkSession | None = None):
     return LazyFrame(parquet_frame(path, spark))
 
 
-def read_csv(path: str, schema: T.StructType | None = None, spark: SparkSession | None = None):
+def read_csv(path: str, schema: T.StructType | None = None, spark: SparkSession | None = None, multi_line: bool = False):
     from quillframe.operators.frame import EagerFrame
 
-    return EagerFrame(csv_frame(path, schema, spark))
+    return EagerFrame(csv_frame(path, schema, spark, multi_line))
 
 
 def read_parquet(path: str, spark: SparkSession | None = None):
