@@ -15,6 +15,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,9 +111,32 @@ def columns_of(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*[df[f"`{source}`"].alias(own) for own, source in names.items()])
 
 
-def unit_hash(column: Column, seed: int) -> Column:
+def picked(df: DataFrame, keep: tuple[str, ...], column: str, own: str) -> DataFrame:
+    """The kept columns as k0, k1, ... and one more under an operator's own name, which thus clashes with none."""
+    return df.select(*[df[f"`{c}`"].alias(f"k{i}") for i, c in enumerate(keep)], df[f"`{column}`"].alias(own))
+
+
+#: A key with more than one in HOT of all rows is hot; there are fewer than HOT of those.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, on: dict[str, str], weight: str, total: int) -> DataFrame:
+    """Inner join of rows with a table that has each key once, with the number of rows that have it as weight.
+
+    on: the rows' columns and the table's, none of which is null. Hot keys, fewer than HOT entries of the
+    table at any input size, are broadcast, so that no task gets all rows of one; others meet in a shuffle.
+    """
+    hot = F.col(weight) * F.lit(HOT) > F.lit(total)
+    same = F.lit(True)
+    for a, b in on.items():
+        same = same & (F.col(a) == F.col(b))
+    few = F.broadcast(table.filter(hot))
+    return rows.join(few, same).unionByName(rows.join(few.select(*on.values()), same, "left_anti").join(table.filter(~hot), same))
+
+
+def unit_hash(*columns: Column, seed: int) -> Column:
     """Evenly spread in [0, 1), the same on every run."""
-    return F.shiftrightunsigned(F.xxhash64(column, F.lit(seed)), 11) / F.lit(float(1 << 53))
+    return F.shiftrightunsigned(F.xxhash64(*columns, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
 def ship(spark: SparkSession) -> None:
@@ -215,16 +239,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Longer spans are hashed as a whole: sums modulo 2^64 cannot tell some long patterns of two bytes apart.
+LONG = 32
+
+
 class SpanHashes:
-    """64-bit hashes of any spans of a block, each in constant time, from one running sum."""
+    """64-bit hashes of any spans of a block, from one running sum; those of more than LONG bytes one by one."""
 
     def __init__(self, data: np.ndarray):
+        self.data = data
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_TABLE[data] * _powers(_INVERSE, len(data)), out=self.sums[1:])
         self.scale = _powers(_BASE, len(data) + 1)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.scale[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        out = mix((self.sums[ends] - self.sums[starts]) * self.scale[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        for i in np.flatnonzero(ends - starts > LONG).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.data[starts[i] : ends[i]])
+        return out
 
     def rolling(self, n: int) -> np.ndarray:
         """Hash of the n bytes from each position on."""
