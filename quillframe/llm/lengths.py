@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import blocks, columns_of, in_arrow
+from quillframe.llm.common import Scratch, blocks, columns_of, in_arrow
 from quillframe.llm.tokens import Encoder
 
 #: Lengths that one slice of the histogram spans; suffix sums run in slices, then across them.
@@ -20,7 +20,8 @@ SLICE = 128
 def length_histogram(df: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
     """n_tokens, n_docs: how many whole texts encode to each length. Null and empty texts have length 0.
 
-    A task counts its own texts first, so the shuffle has a row for each task and length.
+    A task counts its own texts first, so the shuffle has a row for each task and length. Repeated rows
+    count each; other columns, whatever their names, are not read. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -34,15 +35,15 @@ def length_histogram(df: DataFrame, tokenizer: str, text_col: str = "text") -> D
     return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
-def length_report(histogram: DataFrame) -> DataFrame:
-    """One row for each length L that occurs, with sums over the histogram:
+def length_report(histogram: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row for each length L that occurs, with sums over the histogram, which is made once and kept:
 
     docs_up_to and tokens_up_to (length <= L), docs_over and tokens_over (length > L), share_up_to
     (the fraction of documents no longer than L: L is their quantile), and tokens_truncated, the
     tokens left when every document is cut to L. Between two lengths that occur, the answer for a
     limit follows from the next lower row: tokens_truncated + (limit - L) * docs_over. No rows, no report.
     """
-    cells = histogram.withColumn("slice", F.floor(F.col("n_tokens") / SLICE)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    cells = scratch.keep(histogram).withColumn("slice", F.floor(F.col("n_tokens") / SLICE)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     slices = cells.groupBy("slice").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     after = Window.orderBy(F.col("slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()

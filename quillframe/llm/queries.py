@@ -65,11 +65,11 @@ def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_repeats(spark: SparkSession, sf: str) -> DataFrame:
-    return repeats.remove_repeats(documents(spark, sf), Scratch(spark, "repeats")).drop("kept_text")
+    return repeats.remove_repeats(documents(spark, sf), Scratch(spark, "repeats"))
 
 
 def op10_lengths(spark: SparkSession, sf: str) -> DataFrame:
-    return lengths.length_report(lengths.length_histogram(documents(spark, sf), tokens.default_path()))
+    return lengths.length_report(lengths.length_histogram(documents(spark, sf), tokens.default_path()), Scratch(spark, "lengths"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -22,7 +22,8 @@ def _byte_of() -> dict[str, int]:
 
 
 class Encoder:
-    """ids(texts): little-endian unsigned 32-bit ids of each text. Special tokens' strings are ordinary text."""
+    """ids(texts): little-endian unsigned 32-bit ids of each text, none added. The string of an added
+    token in a text is that token, as the file says and the tokenizers library reads it."""
 
     _open: dict[str, Encoder] = {}
 
@@ -41,18 +42,19 @@ class Encoder:
 
     @staticmethod
     def _ranked(spec: dict):
-        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        model, before, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens", [])
         merges = [m.split(" ", 1) if isinstance(m, str) else m for m in model.get("merges", [])]
         order = [model["vocab"].get(a + b) for a, b in merges]
         plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        plain = plain and not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip"))
         if model["type"] != "BPE" or not plain or spec.get("normalizer") or model.get("ignore_merges") or None in order or order != sorted(set(order)):
             return None
         import tiktoken
         from public_tokenizers import PATTERN
 
-        special, byte_of = {t["content"] for t in spec.get("added_tokens", []) if t.get("special")}, _byte_of()
-        ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
-        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        whole, byte_of = {t["content"]: t["id"] for t in added}, _byte_of()
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in whole}
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=whole)
 
     @property
     def slow(self):
@@ -61,16 +63,14 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self._slow = Tokenizer.from_file(self.path)
-            self._slow.encode_special_tokens = True
         return self._slow
 
     def of(self, text: str) -> list[int]:
         if self.fast is not None:
             try:
-                return self.fast.encode_ordinary(text)
-            except BaseException as e:  # the encoder's own failures are no Exception
-                if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
-                    raise
+                return self.fast.encode(text, allowed_special="all")
+            except ValueError:  # its pattern gives up on very long runs of white space
+                pass
         return self.slow.encode(text, add_special_tokens=False).ids
 
     def ids(self, texts: list[str | None]) -> list[bytes]:

@@ -13,17 +13,17 @@ from quillframe.llm.tokens import Encoder, default_path
 @pytest.fixture(scope="module")
 def model():
     t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids if text else []
 
 
 def test_encoder_is_the_tokenizer(spark, rows, model):
     encoder = Encoder(default_path())
     texts = [r[2] for r in rows] + [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
-    texts += ["a  b\n c\t\t d", "<|endoftext|>", "'s don't I'LL", "x\x1cy \x85 z", " " * 2_000_000, "a" * 100_000]
+    texts += ["a  b\n c\t\t d", "<|endoftext|>", "a <|endoftext|>\n  <|endoftext|><|endoftext|> b<|endoftext","'s don't I'LL", "x\x1cy \x85 z", " " * 2_000_000, "a" * 100_000]
     assert encoder.fast is not None
     for text, found in zip(texts, encoder.ids(texts), strict=True):
         assert np.frombuffer(found, "<u4").tolist() == model(text)
+    assert np.frombuffer(encoder.ids(["<|endoftext|>"])[0], "<u4").tolist() == [50256]
 
 
 @pytest.mark.parametrize(("tokens", "segments", "loss"), [(50, 4, 50), (50, 3, 30), (64, 64, 10), (7, 1, 7)])
@@ -79,9 +79,9 @@ def test_prompts_without_loss(spark):
     assert max(loss.values()) <= 12
 
 
-def test_lengths(odd, rows, empty, model):
+def test_lengths(odd, rows, empty, scratch, model):
     lengths = [len(model(r[2])) for r in rows]
-    found = length_report(length_histogram(odd, default_path())).collect()
+    found = length_report(length_histogram(odd, default_path()), scratch).collect()
     assert sorted(r["n_tokens"] for r in found) == sorted(set(lengths))
     for r in found:
         n = r["n_tokens"]
@@ -89,4 +89,4 @@ def test_lengths(odd, rows, empty, model):
         assert (r["n_docs"], r["docs_up_to"], r["docs_over"]) == (lengths.count(n), len(low), len(high))
         assert (r["tokens_up_to"], r["tokens_over"], r["tokens_truncated"]) == (sum(low), sum(high), sum(min(x, n) for x in lengths))
         assert r["share_up_to"] == len(low) / len(lengths)
-    assert length_report(length_histogram(empty, default_path())).collect() == []
+    assert length_report(length_histogram(empty, default_path()), scratch).collect() == []
