@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillframe.llm.common import Scratch, SpanHashes, blocks, columns_of, in_arrow, spread
+from quillframe.llm.common import Scratch, SpanHashes, blocks, columns_of, in_arrow, join_hot, spread
 from quillframe.llm.suffixes import agree, order
 
 WINDOW = 400
@@ -145,12 +145,13 @@ def _sort_segments(reps: DataFrame, window: int) -> DataFrame:
 
 
 def find_repeats(df: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, hot_bytes: int = HOT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """text_key (md5 of the text's bytes) and spans, an array of (start, end) in bytes, which may overlap:
-    what every repeated window of that text covers. Texts without one have no row."""
+    """text_key (md5 of the text's bytes) and spans, an array of (start, end) in bytes: the maximal runs of
+    what the repeated windows of that text cover. Texts without one have no row."""
     rows = columns_of(df, doc_id=id_col, text=text_col)
     listed = scratch.keep(_list_runs(rows, window, gram))
     kinds = scratch.keep(listed.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("text_key", "doc_id", "start", "n")).alias("rep")))
-    whole = listed.join(kinds.filter("times > 1").select(F.col("anchor").alias("a"), F.col("segment").alias("s")), (F.col("anchor") == F.col("a")) & (F.col("segment") == F.col("s")))
+    again = kinds.filter("times > 1").select(F.col("anchor").alias("a"), F.col("segment").alias("s"), "times")
+    whole = join_hot(listed, again, {"anchor": "a", "segment": "s"}, "times", listed.count())
     marks = scratch.keep(whole.select("text_key", "start", (F.col("start") + F.col("n")).alias("end")))
     scratch.drop(listed)
 
@@ -187,12 +188,37 @@ def find_repeats(df: DataFrame, scratch: Scratch, window: int = WINDOW, gram: in
     single = pieces.filter("hot").select("segment", "text_key", "start").distinct()
     twice = single.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("segment").alias("s"))
     by_window = single.join(twice, F.col("segment") == F.col("s")).select("text_key", "start", (F.col("start") + F.lit(window)).alias("end"))
-    every = marks.unionByName(sorted_).unionByName(by_window)
-    spans = scratch.keep(every.groupBy("text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    every = marks.unionByName(sorted_).unionByName(by_window).distinct()
+    spans = scratch.keep(_merge_spans(every, scratch))
     scratch.drop(pieces, marks)
     return spans
 
 
+def _merge_spans(every: DataFrame, scratch: Scratch) -> DataFrame:
+    """text_key, spans: what the rows (text_key, start, end) cover, as a text's maximal runs."""
+    dealt = every.repartition(spread(scratch.spark), "text_key").sortWithinPartitions("text_key", "start", "end")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        now, spans = None, []
+        for batch in batches:
+            out: dict[str, list] = {"text_key": [], "spans": []}
+            for key, start, end in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if key != now:
+                    if spans:
+                        out["text_key"].append(now)
+                        out["spans"].append(spans)
+                    now, spans = key, []
+                if spans and start <= spans[-1]["end"]:
+                    spans[-1]["end"] = max(spans[-1]["end"], end)
+                else:
+                    spans.append({"start": start, "end": end})
+            yield out
+        if spans:
+            yield {"text_key": [now], "spans": [spans]}
+
+    return in_arrow(dealt, run, "text_key binary, spans array<struct<start:long,end:long>>")
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of what the spans cover."""
     out: list[tuple[int, int]] = []
