@@ -16,8 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from quillframe.llm.common import blocks, columns_of, in_arrow
+from quillframe.llm.common import blocks, columns_of, in_arrow, picked
 
 # Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -48,9 +49,14 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
 
 
 def write_png(payload: bytes, level: int = 6) -> bytes:
+    """An 8-bit greyscale PNG. Of the differences to the left and upwards, each row has those with the
+    least sum of absolute values."""
     height, width = shape_of(len(payload))
-    rows = np.ones((height, width + 1), np.uint8)  # the filter of every row is 1, the difference from the byte to the left
-    rows[:, 1:] = np.diff(np.frombuffer(payload, np.uint8).reshape(height, width), axis=1, prepend=np.uint8(0))
+    plain = np.frombuffer(payload, np.uint8).reshape(height, width)
+    forms = np.stack([np.diff(plain, axis=1, prepend=np.uint8(0)), np.diff(plain, axis=0, prepend=np.uint8(0))])
+    kinds = np.abs(forms.view(np.int8).astype(np.int16)).sum(2).argmin(0)
+    rows = np.empty((height, width + 1), np.uint8)
+    rows[:, 0], rows[:, 1:] = kinds + 1, forms[kinds, np.arange(height)]
     data = zlib.compress(rows.tobytes(), level)
     parts = [_chunk(b"IDAT", data[i : i + CHUNK]) for i in range(0, len(data), CHUNK)]
     return b"".join([SIGNATURE, _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)), *parts, _chunk(b"IEND", b"")])
@@ -100,32 +106,30 @@ def unfilter(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
         return rows
     if kinds.max() > 4:
         raise ValueError("unknown filter")
-    if (kinds == 1).all():
-        return np.cumsum(rows.reshape(len(rows), -1, step), axis=1, dtype=np.uint8).reshape(rows.shape)
-    out = rows.copy()
-    above = np.zeros(rows.shape[1], np.uint8)
-    for y, kind in enumerate(kinds):
-        row = out[y]
-        if kind == 1:
-            row[:] = np.cumsum(row.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
-        elif kind == 2:
-            row += above
-        elif kind:
-            left, corner = np.zeros(step, np.int64), np.zeros(step, np.int64)
-            for x in range(0, len(row), step):
-                up = above[x : x + step].astype(np.int64)
-                if kind == 3:
-                    guess = (left + up) // 2
-                else:
-                    to_left, to_up, to_corner = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
-                    guess = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
-                left = (row[x : x + step] + guess) % 256
-                row[x : x + step] = left
-                corner = up
-        above = row
+    if kinds.max() > 2:
+        return _by_diagonals(kinds, rows, step)
+    out, left = rows.copy(), kinds == 1
+    out[left] = np.cumsum(rows[left].reshape(left.sum(), -1, step), axis=1, dtype=np.uint8).reshape(-1, rows.shape[1])
+    for y in np.flatnonzero(kinds[1:] == 2) + 1:
+        out[y] += out[y - 1]
     return out
 
 
+def _by_diagonals(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
+    """All five filters, diagonal by diagonal: what a pixel's guess needs lies on the two before its own."""
+    h, w = len(rows), rows.shape[1] // step
+    out, raw = np.zeros((h + 1, w + 1, step), np.int16), rows.reshape(h, w, step)
+    for d in range(h + w - 1):
+        y = np.arange(max(0, d - w + 1), min(h, d + 1))
+        x = d - y
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        to_left, to_up, to_corner = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+        nearest = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        guess = np.choose(kinds[y][:, None], [np.zeros_like(left), left, up, (left + up) // 2, nearest])
+        out[y + 1, x + 1] = (raw[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8).reshape(rows.shape)
+
+
 _K = np.arange(GRID)
 _COSINES = np.cos(np.pi * (2 * _K[None, :] + 1) * _K[:LOW, None] / (2 * GRID))
 
@@ -145,7 +149,11 @@ def cosine_hash(samples: np.ndarray) -> str:
 
 
 def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media: every whole text (null: empty) as a PNG in a binary column."""
+    """doc_id, n_bytes, media: every whole text (null: empty) as a PNG in a binary column.
+
+    Equal texts give equal media; repeated rows are encoded each. Other columns, whatever their names,
+    are not read. An empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for rows, data, offsets in blocks(batches):
@@ -160,15 +168,15 @@ def read_media(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] =
     the last 32 bytes), media_bytes, media_sha256, feature, error (and payload, with with_payload).
 
     Bytes that are no sound PNG give their own size and hash, the error, and null for the rest; null
-    media give nulls and no error. Equal bytes give equal values.
+    media give nulls and no error. Equal bytes give equal values. An empty table gives an empty result.
     """
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    rows = picked(df, keep, media_col, "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for rows, data, offsets in blocks(batches, "__media"):
-            stored = rows.column(len(keep))
+        for block, data, offsets in blocks(batches, "media"):
+            stored = block.column(len(keep))
             out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error", "payload")}
-            for i in range(len(rows)):
+            for i in range(len(block)):
                 row = dict.fromkeys(out)
                 if stored[i].is_valid:
                     media = data[offsets[i] : offsets[i + 1]].tobytes()
@@ -181,7 +189,8 @@ def read_media(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] =
                         row["error"] = str(e)
                 for k in out:
                     out[k].append(row[k])
-            yield {c: rows.column(i) for i, c in enumerate(keep)} | out
+            yield {f"k{i}": block.column(i) for i in range(len(keep))} | out
 
-    picked = df.select(*keep, df[f"`{media_col}`"].alias("__media"))
-    return in_arrow(picked, run, f"{fields}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string" + (", payload binary" if with_payload else ""))
+    made = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string" + (", payload binary" if with_payload else "")
+    kind = T.StructType([*rows.schema.fields[:-1], *T._parse_datatype_string(made).fields])
+    return in_arrow(rows, run, kind).toDF(*keep, *kind.names[len(keep) :])
