@@ -3,8 +3,10 @@ trained by follow-the-regularised-leader with elastic-net penalties, then calibr
 
 Document frequencies are counted over every training document, in one pass that keeps one array
 for each task. The regression is fitted on the driver on a bounded sample: at most ``per_language``
-documents of a language, chosen by hash, whose sparse counts are computed on the executors. A
-temperature is then fitted on a part of the sample that training did not see.
+documents of a language, chosen by hash, whose sparse counts are computed on the executors. The L1
+penalty leaves three of four weights that training has touched at zero. A temperature is then fitted
+on short pieces of documents that training did not see, since whole ones are too easy to tell how far
+a score can be trusted.
 """
 
 from __future__ import annotations
@@ -14,16 +16,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillframe.llm.common import blocks, columns_of, in_arrow, unit_hash
+from quillframe.llm.common import blocks, columns_of, in_arrow, picked, unit_hash
 
 CELLS = 1 << 14
 ORDERS = (1, 2, 3)
 #: Sampled training documents of a language, and languages, at most.
 PER_LANGUAGE = 1500
 MAX_LANGUAGES = 1000
+#: Bytes that the sample may take on the driver if every document had every cell.
+MAX_BYTES = 400 << 20
+#: Characters of the pieces that the temperature is fitted on.
+PIECE = 40
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint64)
@@ -57,7 +64,7 @@ def weighted(cells: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarr
 class FollowTheLeader:
     """Per-coordinate FTRL-Proximal for the softmax loss, with L1 and L2 penalties."""
 
-    def __init__(self, classes: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-4):
+    def __init__(self, classes: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.2, l2: float = 1e-4):
         self.z, self.n = np.zeros((CELLS, classes)), np.zeros((CELLS, classes))
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
@@ -130,10 +137,17 @@ class LanguageModel:
         return self.languages[best], float(p[best])
 
 
-def train(df: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = 2, seed: int = 6, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fits a model on df's rows with a language and a text. Ties in the score go to the first language by code point."""
+def train(df: DataFrame, per_language: int = PER_LANGUAGE, max_bytes: int = MAX_BYTES, epochs: int = 2, seed: int = 6, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """Fits a model on df's rows with a language and a text; without any, the model knows no language.
+
+    per_language documents of a language at most, and no more of them than max_bytes hold at CELLS
+    cells each, are fitted on: the first by a hash of id and text, of rows that repeat both one. Null
+    ids count as ids. Every row counts in the document frequencies. Other columns, whatever their names,
+    are not read. Ties in the score go to the first language by code point.
+    """
     rows = columns_of(df, doc_id=id_col, text=text_col, lang=lang_col).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    rows = rows.withColumn("u", unit_hash(F.col("doc_id"), F.col("text"), seed=seed))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("u").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(sizes)
@@ -141,34 +155,38 @@ def train(df: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = 2, seed
         return LanguageModel([], np.zeros(CELLS), np.zeros((CELLS, 0)), 1.0)
     seen, n = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + seen)) + 1
-    # A hash below a language's rate, then a hard bound: of a language's copies of one id, all share a hash.
+    few = max(1, min(per_language, max_bytes // (4 * CELLS * len(languages))))
+    # Twice as many as are wanted by a hash below a language's rate; of those the first.
     rate: Column = F.lit(0.0)
     for lang in languages:
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / sizes[lang]))).otherwise(rate)
-    sample = rows.withColumn("u", unit_hash(F.col("doc_id"), seed)).filter(F.coalesce(F.col("u"), F.lit(1.0)) < rate).limit(2 * per_language * len(languages))
+        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, 2 * few / max(sizes[lang], 1)))).otherwise(rate)
+    near = rows.filter(F.col("u") < rate).dropDuplicates(["u", "lang"]).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("u")))
+    sample = near.filter(F.col("place") <= few).select("text", "place", "lang")
+
+    def sparse(text: str) -> tuple[bytes, bytes]:
+        counts = counts_of(text)
+        cells = np.flatnonzero(counts)
+        return cells.astype("<u2").tobytes(), np.minimum(counts[cells], 65535).astype("<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for block, _, _ in blocks(batches):
-            out: dict[str, list] = {"u": block.column(1), "lang": block.column(2), "cells": [], "counts": []}
-            for text in block.column(0).to_pylist():
-                counts = counts_of(text)
-                cells = np.flatnonzero(counts)
-                out["cells"].append(cells.astype("<u2").tobytes())
-                out["counts"].append(counts[cells].astype("<u4").tobytes())
-            yield out
-
-    taken = in_arrow(sample.select("text", "u", "lang"), run, "u double, lang string, cells binary, counts binary").collect()
-    taken.sort(key=lambda r: (r["u"] / max(min(1.0, per_language / sizes[r["lang"]]), 1e-12), r["lang"], bytes(r["cells"]), bytes(r["counts"])))
-    label = {x: i for i, x in enumerate(languages)}
-    examples = [(np.frombuffer(r["cells"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<u4"), label[r["lang"]]) for r in taken]
-    held, learnt = examples[::6] if len(examples) > 60 else [], [x for i, x in enumerate(examples) if len(examples) <= 60 or i % 6]
+            texts = block.column(0).to_pylist()
+            whole, pieces = ([sparse(t) for t in x] for x in (texts, [t[len(t) // 3 :][:PIECE] for t in texts]))
+            yield {"place": block.column(1), "lang": block.column(2), "cells": [x for x, _ in whole], "counts": [x for _, x in whole], "piece_cells": [x for x, _ in pieces], "piece_counts": [x for _, x in pieces]}
+
+    taken = in_arrow(sample, run, "place int, lang string, cells binary, counts binary, piece_cells binary, piece_counts binary").collect()
+    taken.sort(key=lambda r: (r["place"], r["lang"]))
+    label, read = {x: i for i, x in enumerate(languages)}, lambda x: np.frombuffer(x, "<u2").astype(np.int64)
+    held, learnt = taken[::6] if len(taken) > 60 else [], [x for i, x in enumerate(taken) if len(taken) <= 60 or i % 6]
     leader = FollowTheLeader(len(languages))
+    examples = [(cells := read(r["cells"]), weighted(cells, read(r["counts"]), idf), label[r["lang"]]) for r in learnt]
     for _ in range(epochs):
-        for cells, counts, y in learnt:
-            leader.learn(cells, weighted(cells, counts, idf), y)
+        for example in examples:
+            leader.learn(*example)
     model = LanguageModel(languages, idf, leader.weights(), 1.0)
-    if held:
-        model.heat = temperature(np.array([model.logits(c, k) for c, k, _ in held]), np.array([y for *_, y in held]))
+    hard = [r for r in held if r["piece_cells"]]
+    if hard:
+        model.heat = temperature(np.array([model.logits(read(r["piece_cells"]), read(r["piece_counts"])) for r in hard]), np.array([label[r["lang"]] for r in hard]))
     return model
 
 
@@ -177,11 +195,12 @@ def predict(df: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_i
     ``und`` with score 0, and so is every text if nothing could be learned. Repeated rows are scored
     each; an empty table gives an empty result."""
     shared = df.sparkSession.sparkContext.broadcast(model)
+    rows = picked(df, keep, text_col, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for rows, _, _ in blocks(batches, "__text"):
-            found = [shared.value.predict(t) for t in rows.column(len(keep)).to_pylist()]
-            yield {c: rows.column(i) for i, c in enumerate(keep)} | {"lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
+        for block, _, _ in blocks(batches):
+            found = [shared.value.predict(t) for t in block.column(len(keep)).to_pylist()]
+            yield {f"k{i}": block.column(i) for i in range(len(keep))} | {"lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
 
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return in_arrow(df.select(*keep, df[f"`{text_col}`"].alias("__text")), run, f"{fields}, lang_pred string, score double")
+    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return in_arrow(rows, run, T.StructType([*rows.schema.fields[:-1], *made])).toDF(*keep, "lang_pred", "score")
