@@ -15,14 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillframe.llm.common import blocks, columns_of, in_arrow, row_of, unit_hash, words
+from quillframe.llm.common import blocks, columns_of, in_arrow, picked, row_of, unit_hash, words
 
 PASSAGE = 64
 CELLS = 192
-#: Labelled documents that a model is fitted on, and passages of one of those, at most. Longer ones
-#: are left out of the sample (never out of scoring).
-MAX_LABELLED, MAX_PASSAGES = 4000, 512
+#: Labelled documents that a model is fitted on, and passages of one of those, at most. Scoring reads all.
+MAX_LABELLED, MAX_PASSAGES = 4000, 64
 HIDDEN, ATTENTION = 32, 16
 
 _KIND = np.zeros(256, np.int64)  # kinds of bytes: other, lower, upper, digit, beyond ASCII, end of sentence, symbol
@@ -139,44 +139,54 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 25, batch: int
     return model
 
 
-def train(df: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> AttentionModel | None:
-    """Fits on the labelled rows of df: the max_labelled first ids by hash. Labels other than 0 and 1,
-    null ids and ids with both labels are ignored."""
-    clean = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)")
+def train(df: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_passages: int = MAX_PASSAGES, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> AttentionModel | None:
+    """Fits on the labelled rows of df: the max_labelled first ids by hash, of whose passages max_passages
+    at most, evenly spaced, go into the fit. What reaches the driver is thus no more than max_labelled *
+    max_passages * FEATURES * 4 bytes: 209 MB as it is set, 13 MB as a rule.
+
+    Labels other than 0 and 1, null ids and ids with both labels are ignored. Ids are compared as text.
+    Of several texts of one id the first by code point counts, null as empty. None if there are no
+    documents with labels of both kinds.
+    """
+    clean = labels.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)")
     one = clean.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("y1")).filter("y = y1")
-    known = {r["id"]: r["y"] for r in one.orderBy(unit_hash(F.col("id"), seed), "id").limit(max_labelled).select("id", "y").collect()}
+    known = {r["id"]: r["y"] for r in one.orderBy(unit_hash(F.col("id"), seed=seed), "id").limit(max_labelled).select("id", "y").collect()}
     if not known:
         return None
-    chosen = df.sparkSession.createDataFrame([(i,) for i in known], "chosen long")
+    chosen = df.sparkSession.createDataFrame([(i,) for i in known], "chosen string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for block, data, offsets in blocks(batches):
             x, rows = features(data, offsets)
             bounds = np.searchsorted(rows, np.arange(len(block) + 1))
-            fits = np.flatnonzero(np.diff(bounds) <= MAX_PASSAGES)
-            yield {"id": block.column(0).take(pa.array(fits)), "x": [x[bounds[i] : bounds[i + 1]].tobytes() for i in fits]}
+            bags = []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                n = min(b - a, max_passages)
+                bags.append(x[a + np.arange(n) * (b - a) // n].tobytes())
+            yield {"id": block.column(0), "x": bags}
 
     # max_labelled ids at most: small enough to broadcast at any input size.
-    rows = columns_of(df, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    taken = in_arrow(rows.join(F.broadcast(chosen), F.col("id") == F.col("chosen"), "left_semi"), run, "id long, x binary")
-    found = {r["id"]: (r["x"], known[r["id"]]) for r in taken.collect()}
+    rows = columns_of(df, id=id_col, text=text_col).select(F.col("id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    taken = rows.join(F.broadcast(chosen), F.col("id") == F.col("chosen"), "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    found = {r["id"]: (r["x"], known[r["id"]]) for r in in_arrow(taken, run, "id string, x binary").collect()}
     keys = sorted(found)
     return fit([np.frombuffer(found[k][0], np.float32).reshape(-1, FEATURES) for k in keys], np.array([found[k][1] for k in keys]))
 
 
 def score(df: DataFrame, model: AttentionModel | None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The kept columns and score (0 to 1) for each row. A null text counts as empty; a text without words
-    is one empty passage. Without a model every score is 0.5. Repeated rows are scored each."""
+    is one empty passage. Without a model every score is 0.5. Repeated rows are scored each; an empty
+    table gives an empty result."""
     shared = df.sparkSession.sparkContext.broadcast(model)
+    rows = picked(df, keep, text_col, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for rows, data, offsets in blocks(batches, "__text"):
+        for block, data, offsets in blocks(batches):
             if shared.value is None:
-                found = np.full(len(rows), 0.5)
+                found = np.full(len(block), 0.5)
             else:
                 x, of = features(data, offsets)
-                found = shared.value.score(x, of, len(rows))
-            yield {c: rows.column(i) for i, c in enumerate(keep)} | {"score": found}
+                found = shared.value.score(x, of, len(block))
+            yield {f"k{i}": block.column(i) for i in range(len(keep))} | {"score": found}
 
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return in_arrow(df.select(*keep, df[f"`{text_col}`"].alias("__text")), run, f"{fields}, score double")
+    return in_arrow(rows, run, T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())])).toDF(*keep, "score")
