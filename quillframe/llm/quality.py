@@ -92,11 +92,11 @@ def count_grams(df: DataFrame, trusted_ids: DataFrame | list[int], id_col: str =
     driver.
     """
     if not isinstance(trusted_ids, DataFrame):
-        trusted_ids = df.sparkSession.createDataFrame([(i,) for i in trusted_ids], "id long")
-    flags = trusted_ids.filter("id IS NOT NULL").distinct().withColumn("trusted", F.lit(True))
+        trusted_ids = df.sparkSession.createDataFrame([(str(i),) for i in trusted_ids], "id string")
+    flags = trusted_ids.select(F.col("id").cast("string").alias("id")).filter("id IS NOT NULL").distinct().withColumn("trusted", F.lit(True))
     rows = columns_of(df, doc_id=id_col, text=text_col)
     # Rows without an id match nothing; their text spreads them over the partitions.
-    keyed = rows.withColumn("at", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    keyed = rows.withColumn("at", F.coalesce(F.col("doc_id").cast("string"), F.hex(F.xxhash64("text"))))
     flagged = keyed.join(flags.hint("merge"), F.col("at") == F.col("id"), "left").select(F.coalesce(F.col("trusted") & F.col("doc_id").isNotNull(), F.lit(False)).alias("trusted"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -128,7 +128,8 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 def assess(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", trusted_id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept.
 
-    trusted names the trusted documents by id, all of which count. Null ids there are ignored. A null
+    trusted names the trusted documents by id, compared as text; all of them count, repeated ones once
+    for each row. Null ids there are ignored. Other columns, whatever their names, are not read. A null
     or empty text has zero of everything, llr 0, and fails the base rules (fewer than 10 words).
     Without trusted documents the base rules alone decide. Repeated rows are judged each. An empty
     table gives an empty result.
@@ -144,7 +145,8 @@ def assess(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_c
 
 
 def keep_good(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", trusted_id_col: str = "doc_id") -> DataFrame:
-    """The rows of df, with all their columns, that ``assess`` would keep. Rows stay where they are: no shuffle."""
+    """The rows of df, with all their columns, that ``assess`` would keep. Repeated rows stay or go together;
+    columns may have any names. Rows stay where they are: no shuffle. An empty table gives an empty result."""
     judge = _judge(df, trusted, threshold, id_col, text_col, trusted_id_col)
     place = df.columns.index(text_col)
     names = [f"c{i}" for i in range(len(df.columns))]
@@ -160,7 +162,7 @@ def keep_good(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, i
 
 def _judge(df: DataFrame, trusted: DataFrame, threshold: float, id_col: str, text_col: str, trusted_id_col: str):
     """Counts both multinomials; gives the function that judges a block of texts."""
-    ids = trusted.select(F.col(f"`{trusted_id_col}`").cast("long").alias("id"))
+    ids = trusted.select(F.col(f"`{trusted_id_col}`").alias("id"))
     shared = df.sparkSession.sparkContext.broadcast(log_ratios(*count_grams(df, ids, id_col, text_col)))
 
     def judge(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
