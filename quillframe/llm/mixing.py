@@ -80,11 +80,12 @@ def mix_sources(df: DataFrame, scratch: Scratch, weights: Callable[[int, str | N
     Documents of a source are taken in a hashed order, whole, pass after pass, until the target is
     reached; the last one is cut there, so a source's sum is its target rounded down. A source can
     be null (last in order). A null or empty text has size 0 and is never taken. Repeated rows
-    count each. An empty table gives an empty result.
+    count each; null ids come first among equal hashes. Other columns, whatever their names, are not
+    read. An empty table gives an empty result.
     """
     rows = scratch.keep(
         columns_of(df, doc_id=id_col, text=text_col, source=source_col).select(
-            "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), unit_hash(F.col("doc_id"), seed).alias("u")
+            "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), unit_hash(F.col("doc_id"), seed=seed).alias("u")
         )
     )
     sums = rows.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
@@ -99,23 +100,29 @@ def mix_sources(df: DataFrame, scratch: Scratch, weights: Callable[[int, str | N
 
     def place(batches):
         known = {s: (n, t, Demand(knots, t)) for s, (n, t, knots) in plan.items()}
-        kind = pa.list_(pa.struct([("epoch", pa.int32()), ("taken", pa.int64()), ("position", pa.float64())]))
         for batch in batches:
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            names, size = np.array(cols["source"].to_pylist(), object), cols["size"].to_numpy()
-            start = cols["start"].to_numpy()
-            own, goal, took = np.zeros(len(size), np.int64), np.zeros(len(size)), np.zeros((MAX_REPEATS, len(size)), np.int64)
-            where = np.zeros((MAX_REPEATS, len(size)))
-            for s in {*names.tolist()}:
-                at = np.flatnonzero([x is None for x in names] if s is None else names == s)
+            size, start, codes = cols["size"].to_numpy(), cols["start"].to_numpy(), cols["source"].dictionary_encode()
+            names = [*codes.dictionary.to_pylist(), None]
+            code = codes.indices.fill_null(len(names) - 1).to_numpy()
+            by_source = np.argsort(code, kind="stable")
+            ends = np.searchsorted(code[by_source], np.arange(len(names) + 1))
+            own, goal, took = np.zeros(len(size), np.int64), np.zeros(len(size)), np.zeros((len(size), MAX_REPEATS), np.int64)
+            where = np.zeros((len(size), MAX_REPEATS))
+            for i, s in enumerate(names):
+                at = by_source[ends[i] : ends[i + 1]]
+                if not len(at):
+                    continue
                 total, target, demand = known[s]
                 own[at], goal[at] = total, target
                 for e in range(MAX_REPEATS):
                     begin = e * total + start[at]
-                    took[e, at] = np.clip(int(target) - begin, 0, size[at])
-                    where[e, at] = demand.position(begin + took[e, at] / 2)
-            copies = [[{"epoch": e, "taken": int(took[e, i]), "position": float(where[e, i])} for e in range(MAX_REPEATS) if took[e, i]] for i in range(len(size))]
-            yield {"doc_id": cols["doc_id"], "source": cols["source"], "size": size, "source_size": own, "target": goal, "taken": took.sum(0), "copies": pa.array(copies, kind)}
+                    took[at, e] = np.clip(int(target) - begin, 0, size[at])
+                    where[at, e] = demand.position(begin + took[at, e] / 2)
+            row, epoch = np.nonzero(took)
+            each = pa.StructArray.from_arrays([pa.array(epoch, pa.int32()), pa.array(took[row, epoch]), pa.array(where[row, epoch])], ["epoch", "taken", "position"])
+            copies = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(size) + 1)), pa.int32()), each)
+            yield {"doc_id": cols["doc_id"], "source": cols["source"], "size": size, "source_size": own, "target": goal, "taken": took.sum(1), "copies": copies}
 
     kind = df.schema[id_col].dataType.simpleString()
     return in_arrow(placed.drop("u"), place, f"doc_id {kind}, source string, size long, source_size long, target double, taken long, copies array<struct<epoch:int,taken:long,position:double>>")
