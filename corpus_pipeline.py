@@ -21,12 +21,23 @@ from quillframe.llm.common import SPACE, Scratch, blocks, in_arrow
 ORACLE_SQL = None
 
 
-def _repeated_ids(docs: DataFrame) -> DataFrame:
-    return docs.groupBy(F.col("doc_id").alias("repeated")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("repeated")
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns named c0, c1, ..., which no helper's name clashes with, and the new name of each."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _repeated_ids(docs: DataFrame, doc_id: str) -> DataFrame:
+    return docs.groupBy(F.col(doc_id).alias("repeated")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("repeated")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and whose text resembles the trusted ones (labels.quality = 1)."""
+    """Documents that pass the base rules and whose text resembles the trusted ones (labels.quality = 1).
+
+    Rows keep all their columns, whatever their names. A null or empty text fails the base rules. Rows that
+    repeat stay or go together; null ids are trusted by nobody. No documents, none kept; no labels, the base
+    rules alone decide.
+    """
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1")
     return quality.keep_good(docs, trusted)
 
@@ -36,27 +47,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat an id and a text are one document; the first of them stays. An id may name several
     texts, and null counts as larger than any other id: each text has its own verdict, and of one id's
-    texts in a group the one with the least md5 stays. Texts without words are in no group.
+    texts in a group the one with the least md5 stays. Texts without words, null among them, are in no
+    group. Columns may have any names; no documents, none kept.
     """
-    scratch = Scratch(spark, "near_dedup")
+    scratch, (plain, at) = Scratch(spark, "near_dedup"), _plain(docs)
     rule = neardup.Rule(words=5, num=80, den=100)
-    groups = scratch.keep(neardup.group_duplicates(docs, scratch, rule, with_keys=True).select("doc_id", "text_key", "root"))
+    groups = scratch.keep(neardup.group_duplicates(plain, scratch, rule, at["doc_id"], at["text"], with_keys=True).select("doc_id", "text_key", "root"))
     # One row for each document, with the number of rows that repeat it.
     each = groups.groupBy("doc_id", "text_key").agg(F.first("root").alias("root"), F.count(F.lit(1)).alias("n"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     least = groups.filter("root IS NOT NULL").groupBy("root").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("root").alias("r"), "best")
     verdict = each.join(least, F.col("root") == F.col("r"), "left").withColumn("gone", F.coalesce(F.col("best") != rank, F.lit(False)))
-    special = scratch.keep(verdict.filter("gone OR n > 1").select(F.col("doc_id").alias("__of"), F.col("text_key").alias("__key"), "gone"))
-    key = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    special = scratch.keep(verdict.filter("gone OR n > 1").select(F.col("doc_id").alias("of"), F.col("text_key").alias("key"), "gone"))
+    key = F.unhex(F.md5(F.coalesce(F.col(at["text"]), F.lit("")).cast("binary")))
 
-    def having(rows: DataFrame, these: DataFrame, how: str) -> DataFrame:
-        return rows.join(these, rows["doc_id"].eqNullSafe(F.col("__of")) & (key == F.col("__key")), how)
+    def having(these: DataFrame, how: str) -> DataFrame:
+        return plain.join(these, F.col(at["doc_id"]).eqNullSafe(F.col("of")) & (key == F.col("key")), how)
 
-    once = having(docs, special, "left_anti")
+    kept = having(special, "left_anti")
     twice = special.filter("NOT gone")
-    if twice.isEmpty():
-        return once
-    return once.unionByName(having(docs, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
+    if not twice.isEmpty():
+        kept = kept.unionByName(having(twice, "left_semi").dropDuplicates([at["doc_id"], at["text"]]))
+    return kept.toDF(*docs.columns)
 
 
 #: Bytes of a passage that must not repeat: about 50 short words. The anchors' substrings leave windows enough to choose from.
@@ -64,37 +76,41 @@ PASSAGE_BYTES, PASSAGE_GRAM = 256, 100
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the passages of PASSAGE_BYTES or more that also occur elsewhere; n_chars follows the text."""
-    rest = tuple(c for c in docs.columns if c != "text")
-    out = repeats.remove_repeats(docs.withColumnRenamed("doc_id", "__id").withColumnRenamed("text", "__text"), Scratch(spark, "suffix_dedup"), PASSAGE_BYTES, PASSAGE_GRAM, id_col="__id", text_col="__text", keep=tuple("__id" if c == "doc_id" else c for c in rest))
-    cols = []
-    for c in docs.columns:
-        if c == "text":
-            cols.append(F.col("kept_text").alias("text"))
-        elif c == "n_chars":
-            cols.append(F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
-        else:
-            cols.append(F.col("__id").alias("doc_id") if c == "doc_id" else F.col(f"`{c}`"))
-    return out.select(*cols)
+    """Every document, without the passages of PASSAGE_BYTES or more that also occur elsewhere; n_chars follows the text.
+
+    A passage goes from every place, in rows that repeat too; a null text counts as empty and comes back
+    empty. Columns may have any names. No documents, none kept.
+    """
+    plain, at = _plain(docs)
+    rest = tuple(c for c in plain.columns if c not in (at["doc_id"], at["text"]))
+    out = repeats.remove_repeats(plain, Scratch(spark, "suffix_dedup"), PASSAGE_BYTES, PASSAGE_GRAM, id_col=at["doc_id"], text_col=at["text"], keep=rest)
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
+    if "n_chars" in at:
+        made["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(at["n_chars"]))
+    return out.select(*[made.get(c, F.col(at[c])).alias(c) for c in docs.columns])
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, a row for each time the mix takes one; the last of a source is cut where its target ends."""
-    scratch = Scratch(spark, "mixing")
-    copies = scratch.keep(mixing.mix_sources(docs, scratch).select(F.col("doc_id").alias("__of"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.explode("copies").alias("__copy")))
-    if _repeated_ids(docs).isEmpty():
-        joined = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("__of")))
+    """Documents in training order, a row for each time the mix takes one; the last of a source is cut where its target ends.
+
+    Rows that repeat are taken each. A text without words, null among them, is never taken. Null sources
+    and ids count as any other. Columns may have any names. No documents, none taken.
+    """
+    scratch, (plain, at) = Scratch(spark, "mixing"), _plain(docs)
+    doc_id, text, source = (at[c] for c in ("doc_id", "text", "source"))
+    mixed = mixing.mix_sources(plain, scratch, id_col=doc_id, text_col=text, source_col=source)
+    copies = scratch.keep(mixed.select(F.col("doc_id").alias("of"), F.col("source").alias("of_source"), "size", F.explode("copies").alias("copy")))
+    if _repeated_ids(plain, doc_id).isEmpty():
+        joined = plain.join(copies, F.col(doc_id).eqNullSafe(F.col("of")))
     else:
         # Rows of one id are told apart by their number among those of equal source and size.
-        sized = docs.withColumn("__words", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long"))
-        by_id = Window.partitionBy("doc_id", "source", "__words").orderBy(F.xxhash64("text"))
-        left = sized.withColumn("__n", F.row_number().over(by_id)).drop("__words")
-        of_copy = Window.partitionBy("__of", "__source", "__size", "__copy.epoch").orderBy("__copy.position")
-        right = copies.withColumn("__m", F.row_number().over(of_copy))
-        joined = left.join(right, left["doc_id"].eqNullSafe(F.col("__of")) & left["source"].eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__m"))).drop("__n", "__m")
-    flat = joined.withColumns({"__taken": F.col("__copy.taken"), "__at": F.col("__copy.position"), "__epoch": F.col("__copy.epoch")})
-    ordered = flat.repartitionByRange("__at").sortWithinPartitions("__at", "doc_id", "__epoch")
-    return _cut(ordered.select(*docs.columns, "__size", "__taken"), docs)
+        sized = plain.withColumn("words", F.coalesce(F.regexp_count(text, F.lit(mixing.WORD)), F.lit(0)).cast("long"))
+        left = sized.withColumn("n", F.row_number().over(Window.partitionBy(doc_id, source, "words").orderBy(F.xxhash64(text))))
+        right = copies.withColumn("m", F.row_number().over(Window.partitionBy("of", "of_source", "size", "copy.epoch").orderBy("copy.position")))
+        same = F.col(doc_id).eqNullSafe(F.col("of")) & F.col(source).eqNullSafe(F.col("of_source")) & (F.col("words") == F.col("size")) & (F.col("n") == F.col("m"))
+        joined = left.join(right, same)
+    ordered = joined.select(*plain.columns, "size", "copy.*").repartitionByRange("position").sortWithinPartitions("position", doc_id, "epoch")
+    return _cut(ordered.select(*plain.columns, "size", "taken"), docs)
 
 
 def _cut(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -126,7 +142,9 @@ def _cut(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens, with their ids."""
+    """Pieces of documents in sequences of 2048 tokens, with their ids: doc_id, start, length, ids_crc32,
+    doc_tokens, sequence_id, offset, ids. Rows that repeat are packed each; a null or empty text is its end
+    token alone; other columns, whatever their names, are not read. No documents, no pieces."""
     return packing.pack_documents(docs, tokens.default_path(), tokens=2048, with_ids=True)
 
 
@@ -140,9 +158,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch, docs = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Every stage on all that the one before kept; what a stage has written on the way goes when it is done."""
+    scratch, docs, last = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
+        before = list(Scratch.opened)
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = scratch.keep(docs)
+            for own in [s for s in Scratch.opened if s not in before]:
+                own.close()
+            if last is not None:
+                scratch.drop(last)
+            last = docs
     return docs
