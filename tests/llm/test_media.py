@@ -1,11 +1,12 @@
 import hashlib
+import math
 import struct
 import zlib
 
 import numpy as np
 import pytest
 
-from quillframe.llm import media
+from quillframe.llm import media, queries
 
 
 def png(rows, kinds, color, width, height, extra=b""):
@@ -77,3 +78,41 @@ def test_bad_media(spark, empty):
     assert bad["error"] == "not a PNG" and bad["media_bytes"] == 4 and bad["feature"] is None
     assert none["error"] is None and none["media_bytes"] is None
     assert media.read_media(media.encode_media(empty)).collect() == []
+
+
+def plain_hash(samples):
+    """Every mean and every cosine sum by loops."""
+    grid, low = 16, 8
+    h, w = samples.shape[:2]
+    cut = lambda n: [(i * n // grid, max((i + 1) * n // grid, i * n // grid + 1)) for i in range(grid)]
+    small = [[float(samples[a:b, c:d].mean()) for c, d in cut(w)] for a, b in cut(h)]
+    cos = lambda k, x: math.cos(math.pi * (2 * x + 1) * k / (2 * grid))
+    found = [round(sum(small[y][x] * cos(v, y) * cos(u, x) for y in range(grid) for x in range(grid)), 6) for v in range(low) for u in range(low)]
+    middle = sorted(found[1:])[31]
+    bits = [False] + [x > middle for x in found[1:]]
+    return bytes(sum(bit << (7 - i) for i, bit in enumerate(bits[at : at + 8])) for at in range(0, 64, 8)).hex()
+
+
+def test_hash_by_loops():
+    rng = np.random.default_rng(6)
+    for h, w in ((24, 24), (48, 24), (72, 48), (16, 40)):
+        samples = rng.integers(0, 256, (h, w, 1), dtype=np.uint8)
+        assert media.cosine_hash(samples) == plain_hash(samples[:, :, 0])
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = {r[0]: r[1] or "" for r in queries.documents(spark, sf).select("doc_id", "text").collect()}
+    found = queries.op1_media(spark, sf).collect()
+    assert {r["doc_id"] for r in found} == set(rows) and len(found) == len(rows)
+    for r in found:
+        text = rows[r["doc_id"]].encode()
+        payload = text + b"\xff" * (-len(text) % 576 if text else 576)
+        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(text), len(payload), zlib.crc32(payload[-32:]))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+
+
+def test_names_that_need_quotes(spark):
+    df = spark.createDataFrame([(1, "x", bytearray(media.write_png(media.payload_of(b"t"))))], "doc_id long, `a.b` string, __media binary")
+    out = media.read_media(df, "__media", keep=("a.b", "doc_id"))
+    assert out.columns[:2] == ["a.b", "doc_id"] and out.first()["feature"]

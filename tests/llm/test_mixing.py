@@ -58,3 +58,19 @@ def test_repeatable(spark, scratch):
     one, two = make(2), make(5)
     check(one, rows)
     assert sorted(map(str, one)) == sorted(map(str, two))
+
+
+def test_positions(spark, scratch):
+    """A copy's position is the time at which its source's scheduled demand reaches the middle of its words."""
+    rows = [(i, "w " * (1 + i % 40), "abc"[i % 7 % 3]) for i in range(300)]
+    found = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), scratch).collect()
+    knots = {"a": [1.5, 1.0, 0.5], "b": [1.0, 1.0, 1.0], "c": [0.5, 1.0, 1.5]}
+    for s in "abc":
+        copies = sorted((c["position"], c["taken"]) for r in found if r["source"] == s for c in r["copies"])
+        goal, before = next(r["target"] for r in found if r["source"] == s), 0
+        t = np.linspace(0, 1, 20_001)
+        rate = np.interp(t, [0, 0.5, 1], knots[s])
+        share = np.concatenate([[0], np.cumsum((rate[1:] + rate[:-1]) / 2)])
+        for position, taken in copies:
+            assert abs(np.interp(position, t, share / share[-1]) * goal - (before + taken / 2)) < 0.01 * goal
+            before += taken

@@ -96,3 +96,40 @@ def test_components(spark, scratch):
         parent[max(a, b)] = min(a, b)
     found = dict(map(tuple, connected(spark.createDataFrame(edges, "a long, b long"), scratch).collect()))
     assert found == {x: root(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_wide_estimate():
+    """Near the true similarity, and at the threshold never passed over in thousands of pairs."""
+    rng = np.random.default_rng(3)
+    missed = 0
+    for n in (10, 60, 150, 400, 3000):
+        for _ in range(400):
+            common = -(-85 * n // 100)
+            pool = rng.integers(0, 2**64, 2 * n - common, dtype=np.uint64)
+            a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:common], pool[n:]]))
+            wide = [np.frombuffer(neardup.wide_signature(x), "<u8")[None] for x in (a, b)]
+            real = common / len(pool)
+            found, near = neardup.wide_estimate(*wide, np.array([2 * n]), real)
+            missed += not near[0]
+            assert abs(found[0] - real) < 0.2
+    assert missed == 0
+
+
+@pytest.mark.parametrize("few", [(1, 1, 1), (2, 3, 4)])
+def test_lists_of_any_length(spark, scratch, monkeypatch, few):
+    """Short lists take more rounds and give the same components; so do small blocks, streams and chunks."""
+    for name, x in zip(("FIRST", "MORE", "MOST"), few, strict=True):
+        monkeypatch.setattr(neardup, name, x)
+    for name, x in (("BLOCK", 7), ("STREAM", 11), ("CHUNK", 5), ("CHUNK_BYTES", 4000)):
+        monkeypatch.setattr(neardup, name, x)
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(5000)}" for _ in range(90)]
+    texts = []
+    for _ in range(60):
+        t = list(base)
+        for _ in range(rng.randint(0, 5)):
+            t[rng.randrange(len(t))] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    ids, rule = rng.sample(range(10**6), len(texts)), Rule(3, 85, 100)
+    found = group_duplicates(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"), scratch, rule).collect()
+    assert Counter(map(tuple, found)) == Counter(brute(ids, texts, rule))

@@ -2,14 +2,17 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 from quillframe.llm import mixing, quality
+from quillframe.llm.common import unit_hash
 from quillframe.llm.packing import END_ID
 from quillframe.llm.repeats import merged, whole_characters
 from quillframe.llm.tokens import default_path
@@ -17,7 +20,6 @@ from quillframe.llm.tokens import default_path
 from .conftest import awkward
 from .test_neardup import brute as components
 from .test_quality import brute as statistics
-from .test_repeats import brute as repeated
 
 
 @pytest.fixture(scope="module")
@@ -68,16 +70,8 @@ def test_near_dedup(spark, docs, sf, rows):
     assert out.columns == docs.columns
     made = list(components([r[1] for r in rows], [r[2] for r in rows], P.neardup.Rule()))
     want = {(r[1], r[2]) for r, m in zip(rows, made, strict=True) if m[3]}
-    gone = {m[0] for m in made if not m[3]}
-    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(x for x in want if x[0] not in gone)
-
-
-def test_near_dedup_keeps_every_verdict(spark, docs, sf, rows):
-    """Every row that the brute-force version keeps stays, also where another row of its id goes."""
-    made = list(components([r[1] for r in rows], [r[2] for r in rows], P.neardup.Rule()))
-    want = {(r[1], r[2]) for r, m in zip(rows, made, strict=True) if m[3]}
-    assert (None, "no id here") in want
-    assert Counter((r["doc_id"], r["text"]) for r in P.near_dedup(spark, docs, sf).collect()) == Counter(want)
+    assert (None, "no id here") in want  # also where another row of its id goes
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(want)
 
 
 def test_near_dedup_repeated_ids(spark, sf):
@@ -88,15 +82,6 @@ def test_near_dedup_repeated_ids(spark, sf):
     assert out == Counter([(1, a), (2, b), (None, one_of_c), (4, d + " w"), (5, "of 5"), (6, None), (6, ""), (None, "alone")])
 
 
-def test_suffix_dedup(spark, docs, sf, rows):
-    out = P.suffix_dedup(spark, docs, sf)
-    assert out.columns == docs.columns and out.count() == len(rows)
-    texts = [(r[2] or "").encode() for r in rows]
-    untouched = {r[1]: r[2] or "" for r, w in zip(rows, repeated(texts, P.PASSAGE_BYTES), strict=True) if w[1] == 0}
-    for r in out.collect():
-        assert r["n_chars"] == len(r["text"]) or untouched.get(r["doc_id"]) is not None or r["n_chars"] is None
-
-
 def test_suffix_dedup_texts(spark, docs, sf, rows):
     """Every row's text, and its n_chars, as brute force leaves them; characters stay whole."""
     texts = [(r[2] or "").encode() for r in rows]
@@ -140,7 +125,6 @@ def test_whole_run_packs_every_token(spark, sf):
     for _, stage in P.STAGES[:-1]:
         docs = P.Scratch(spark, "by_hand").keep(stage(spark, docs, sf))
     model = Tokenizer.from_file(default_path())
-    model.encode_special_tokens = True
     want, got, held = Counter(), Counter(), Counter()
     for r in docs.collect():
         ids = model.encode(r["text"], add_special_tokens=False).ids if r["text"] else []
@@ -152,6 +136,56 @@ def test_whole_run_packs_every_token(spark, sf):
     assert max(held.values()) == 1 and all(at < 2048 for _, at in held)
 
 
+CLASHES = ("gone", "of", "key", "root", "__id", "__text", "__size", "__of", "__copy", "kept_text", "spans", "size", "n", "words", "copy", "position", "taken", "k0", "a.b")
+
+
+def test_columns_that_clash(spark, sf):
+    """Extra columns named like helpers come through every stage as they are."""
+    rng = random.Random(9)
+    table = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(60)), "ab"[i % 2], 7, *(f"{c}{i}" for c in CLASHES)) for i in range(12)]
+    columns = ["doc_id", "text", "source", "n_chars", *CLASHES]
+    docs = spark.createDataFrame(table, ", ".join(f"`{c}` {'long' if c in ('doc_id', 'n_chars') else 'string'}" for c in columns))
+    for stage in (P.quality_rules, P.near_dedup, P.suffix_dedup):
+        out = stage(spark, docs, sf)
+        assert out.columns == columns
+        assert Counter(map(tuple, out.collect())) == Counter(table)
+    mixed = P.source_mixing(spark, docs, sf)
+    extra = {r[0]: r[4:] for r in table}
+    assert mixed.columns == columns and all(tuple(r)[4:] == extra[r["doc_id"]] for r in mixed.collect())
+    assert P.sequence_packing(spark, docs, sf).count() >= 12
+
+
+def test_mixing_rows(spark, sf):
+    """Every copy, with its text: whole passes, then whole documents in the order of the hash, the last one cut."""
+    rng = random.Random(4)
+    table = [(i, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randint(1, 30))), "aabc"[i % 4]) for i in range(80)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string")
+    u = {r[0]: r[1] for r in docs.select("doc_id", unit_hash(F.col("doc_id"), seed=8)).collect()}
+    sizes = {s: sum(len(t.split()) for _, t, x in table if x == s) for s in "abc"}
+    goal = dict(zip("abc", mixing.targets([sizes[s] for s in "abc"], [5, 2, 1]), strict=True))
+    want = Counter()
+    for s in "abc":
+        left = int(goal[s])
+        order = sorted((r for r in table if r[2] == s), key=lambda r: (u[r[0]], r[0]))
+        while left:
+            for i, t, _ in order:
+                take = min(left, len(t.split()))
+                left -= take
+                if take:
+                    want[i, " ".join(t.split()[:take]), s] += 1
+    assert Counter(map(tuple, P.source_mixing(spark, docs, sf).collect())) == want
+
+
+def test_packing_stage(spark, docs, sf, rows):
+    model, want, got = Tokenizer.from_file(default_path()), Counter(), Counter()
+    for r in rows:
+        want.update((r[1], k, x) for k, x in enumerate([*(model.encode(r[2], add_special_tokens=False).ids if r[2] else []), END_ID]))
+    for r in P.sequence_packing(spark, docs, sf).collect():
+        assert r["length"] == len(r["ids"]) and r["offset"] + r["length"] <= 2048
+        got.update((r["doc_id"], r["start"] + k, x) for k, x in enumerate(r["ids"]))
+    assert got == want
+
+
 def test_empty_run(spark, sf, tmp_path, docs):
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{sf}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from quillframe.llm import quality
+from quillframe.llm import quality, queries
 
 
 def brute(text):
@@ -75,3 +75,47 @@ def test_trusted_ids_join_as_flags(spark):
     ids = spark.createDataFrame([(1,), (1,), (None,), (9,)], "id long")
     raw, target = quality.count_grams(docs, ids)
     assert raw.sum() == 8 and target.sum() == 4
+
+
+def test_texts_that_sums_confuse():
+    """Two different lines and words of two letters that a sum modulo 2^64 over powers cannot tell apart."""
+    t = [0]
+    while len(t) < 1024:
+        t += [1 - x for x in t]
+    one, two = ("".join(letters[x] for x in t) for letters in ("ab", "ba"))
+    text = f"{one}\n{two}\n" + " ".join([one, *"cdef", two, *"cdef"])
+    data = np.frombuffer(text.encode(), np.uint8)
+    found = {k: int(v[0]) for k, v in quality.base_statistics(data, np.array([0, len(data)])).items()}
+    assert tuple(found.values()) == brute(text)[:5]
+
+
+def test_query_by_loops(spark):
+    """Base counts, both multinomials and every verdict of op4 over a whole table."""
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in queries.documents(spark, sf).select("doc_id", "text").collect()]
+    trusted = {r[0] for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").collect()}
+
+    def cells(text):
+        b = (text or "").encode()
+        return [((b[i] | b[i + 1] << 8 | b[i + 2] << 16) * 0x9E3779B1 % 2**32) >> 16 for i in range(len(b) - 2)]
+
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(found := cells(t))
+        target.update(found if i in trusted else ())
+    n, m = raw.total(), target.total()
+    ratio = {c: np.log((target[c] + quality.PRIOR * k / n) / (m + quality.PRIOR)) - np.log(k / n) for c, k in raw.items()}
+    want = {}
+    for i, t in rows:
+        *base, failed = brute(t)
+        found = cells(t)
+        llr = sum(ratio[c] for c in found) / max(len(found), 1)
+        want[i] = (*base, failed, round(llr, 5), not failed and llr >= quality.THRESHOLD)
+    got = {r["doc_id"]: (*(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")), round(r["llr"], 5), r["kept"]) for r in queries.op4_quality(spark, sf).collect()}
+    assert got == want
+
+
+def test_ids_of_text(spark):
+    docs = spark.createDataFrame([("a", "abcd"), ("b", "xyzw"), (None, "abcd")], "doc_id string, text string")
+    raw, target = quality.count_grams(docs, spark.createDataFrame([("a",)], "id string"))
+    assert raw.sum() == 6 and target.sum() == 2

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quillframe.llm import repeats
+from quillframe.llm import queries, repeats
 from quillframe.llm.repeats import merged, remove_repeats, whole_characters
 
 
@@ -29,11 +29,29 @@ def test_against_brute_force(odd, rows, scratch, window, gram, hot):
 
 def test_kept_text(odd, rows, scratch, empty):
     found = remove_repeats(odd, scratch, 40, 20, keep=("key", "lang", "start")).collect()
-    assert len(found) == len(rows) and found[0]["key"] in ("k", None)
-    assert all(len(r["kept_text"].encode()) >= r["n_bytes"] - r["n_removed"] for r in found)
+    texts = [(r[2] or "").encode() for r in rows]
+    seen = Counter(t[i : i + 40] for t in texts for i in range(len(t) - 39))
+    want = Counter()
+    for r, t in zip(rows, texts, strict=True):
+        kept, at = b"", 0
+        for a, b in merged([(i, i + 40) for i in range(len(t) - 39) if seen[t[i : i + 40]] > 1]):
+            a, b = whole_characters(t, a, b)
+            kept, at = kept + t[at:a], b
+        want[r[6], r[3], r[7], r[1], (kept + t[at:]).decode()] += 1
+    assert Counter((r["key"], r["lang"], r["start"], r["doc_id"], r["kept_text"]) for r in found) == want
     assert remove_repeats(empty, scratch).collect() == []
 
 
+def test_query(spark):
+    """op9 over a whole table; its text and its hash say the same where no character is cut."""
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in queries.documents(spark, sf).select("doc_id", "text").collect()]
+    found = queries.op9_repeats(spark, sf).collect()
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found)
+    assert got == Counter((i, *w) for (i, _), w in zip(rows, brute([(t or "").encode() for _, t in rows], 400), strict=True))
+    assert sum(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in found) > 0.9 * len(found)
+
+
 def test_whole_characters():
     text = "aéb".encode()
     assert whole_characters(text, 0, 2) == (0, 1)
