@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from quillframe.llm.lengths import length_histogram, length_report
-from quillframe.llm.packing import END_ID, pack, pack_documents
+from quillframe.llm.packing import END_ID, ROW_BITS, SEQUENCE_BITS, pack, pack_documents
 from quillframe.llm.tokens import Encoder, default_path
 
 
@@ -79,6 +79,27 @@ def test_prompts_without_loss(spark):
     assert max(loss.values()) <= 12
 
 
+def test_ordered_ids(spark, model):
+    """Ids rise with file and row from block to block, in whatever order tasks meet the files."""
+    places = [(f, r) for f, rows in ((2, range(10)), (0, range(5, 10)), (1, range(20)), (0, range(5))) for r in rows]
+    table = [(100 * f + r, f"{f} {r} " * (1 + 7 * r % 40), f, r) for f, r in places]
+    df = spark.createDataFrame(table, "doc_id long, text string, part long, at long").repartition(1)
+    for rows in (df, spark.createDataFrame(table, df.schema).coalesce(3)):
+        found = pack_documents(rows, default_path(), tokens=32, segments=3, examples=4, order_cols=("part", "at")).orderBy("sequence_id", "offset").collect()
+        assert sum(p["length"] for p in found) == sum(len(model(t)) + 1 for _, t, *_ in table)
+        held, of = defaultdict(list), defaultdict(set)
+        for p in found:
+            held[p["sequence_id"]].append((p["offset"], p["length"]))
+            of[p["sequence_id"] >> SEQUENCE_BITS].add(p["doc_id"])
+        assert all(o == sum(n for _, n in b[:i]) for b in held.values() for i, (o, _) in enumerate(b))
+        blocks = [of[k] for k in sorted(of)]
+        assert len(blocks) >= 4 and all(max(a) < min(b) for a, b in zip(blocks[:-1], blocks[1:], strict=True))
+        assert sorted(x for b in blocks for x in b) == sorted(r[0] for r in table)
+    far = spark.createDataFrame([(1, "a", 0, 1 << ROW_BITS)], df.schema)
+    with pytest.raises(Exception, match="range of ordered ids"):
+        pack_documents(far, default_path(), order_cols=("part", "at")).collect()
+
+
 def test_lengths(odd, rows, empty, scratch, model):
     lengths = [len(model(r[2])) for r in rows]
     found = length_report(length_histogram(odd, default_path()), scratch).collect()
