@@ -6,11 +6,12 @@ folder and rereads it. All but the last return the columns of the documents.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,8 +145,25 @@ def _cut(rows: DataFrame, docs: DataFrame) -> DataFrame:
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens, with their ids: doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset, ids. Rows that repeat are packed each; a null or empty text is its end
-    token alone; other columns, whatever their names, are not read. No documents, no pieces."""
-    return packing.pack_documents(docs, tokens.default_path(), tokens=2048, with_ids=True)
+    token alone; other columns, whatever their names, are not read. No documents, no pieces.
+
+    Of a table that one Spark job wrote, sequence ids rise in the order it was written in, from block to
+    block of some thousand documents, so that the mix's training order holds. Other rows are numbered as
+    tasks read them."""
+    plain, at = _plain(docs)
+    order = _written_order(docs)
+    if order:
+        plain = docs.select(F.col("doc_id").alias(at["doc_id"]), F.col("text").alias(at["text"]), *[c.alias(n) for c, n in zip(order, ("file", "row"), strict=True)])
+    return packing.pack_documents(plain, tokens.default_path(), tokens=2048, id_col=at["doc_id"], text_col=at["text"], order_cols=("file", "row") if order else None, with_ids=True)
+
+
+def _written_order(docs: DataFrame) -> tuple[Column, Column] | None:
+    """Number of a row's part file and of the row in it; None where docs is not read from files with one number each."""
+    found = [re.match(r"part-(\d+)-", f.rsplit("/", 1)[-1]) for f in docs.inputFiles()]
+    if not found or None in found or len({int(m[1]) for m in found}) < len(found):
+        return None
+    place = docs.metadataColumn("_metadata")
+    return F.regexp_extract(place["file_name"], r"part-(\d+)-", 1).cast("long"), place["row_index"]
 
 
 STAGES = [
