@@ -186,6 +186,21 @@ def test_packing_stage(spark, docs, sf, rows):
     assert got == want
 
 
+def test_packing_keeps_training_order(spark, sf, tmp_path):
+    """Sequence ids follow the order of the part files, though the scan reads the largest first."""
+    table = [(i, "w " * (5 + i * i // 3), "a", i) for i in range(40)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string, file long")
+    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    found = P.sequence_packing(spark, mixed, sf).collect()
+    assert sum(r["length"] for r in found) == sum(r["doc_tokens"] for r in found if r["start"] == 0)
+    of = {}
+    for r in found:
+        of.setdefault(r["sequence_id"] >> P.packing.SEQUENCE_BITS, set()).add(r["doc_id"])
+    blocks = [of[k] for k in sorted(of)]
+    assert len(blocks) == 4 and all(max(a) < min(b) for a, b in zip(blocks[:-1], blocks[1:], strict=True))
+
+
 def test_empty_run(spark, sf, tmp_path, docs):
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{sf}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
