@@ -11,17 +11,19 @@ from __future__ import annotations
 import numpy as np
 
 
-def _names(triples: list[np.ndarray], size: int) -> np.ndarray:
-    """Ranks from 1 of triples with symbols below size, equal for equal triples."""
-    a, b, c = (x.astype(np.int64) for x in triples)
+def _names(t: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Ranks from 1 of the triples of t that begin at these places, equal for equal triples; symbols lie below size."""
+    key = t[at] * size
+    key += t[at + 1]
+    if size**3 >= 1 << 62:
+        key = _dense(key)
+    key *= size
+    key += t[at + 2]
     if size**3 <= 1 << 25:
-        key = (a * size + b) * size + c
         seen = np.zeros(size**3, bool)
         seen[key] = True
-        return np.cumsum(seen)[key]
-    if size**3 < 1 << 62:
-        return _dense((a * size + b) * size + c)
-    return _dense(_dense(a * size + b) * size + c)
+        return np.cumsum(seen, dtype=np.int32)[key].astype(np.int64)
+    return _dense(key)
 
 
 def _dense(key: np.ndarray) -> np.ndarray:
@@ -45,9 +47,8 @@ def ranks(s: np.ndarray, size: int, depth: int) -> np.ndarray:
     t = np.zeros(n + 4, np.int64)
     t[:n] = s
     # One sample more than needed where n is 1 modulo 3: its triple of padding ends the first half.
-    one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
-    samples = np.concatenate([one, two])
-    names = _names([t[samples], t[samples + 1], t[samples + 2]], size)
+    samples = np.concatenate([np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)])
+    names = _names(t, samples, size)
     top = int(names.max())
     if depth > 3 and top < len(samples):
         names = ranks(names, top + 1, -(-depth // 3) + 1)
