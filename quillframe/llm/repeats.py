@@ -122,7 +122,7 @@ def _sort_segments(reps: DataFrame, window: int) -> DataFrame:
         base = np.concatenate([[0], np.cumsum(lengths + 1)])
         # Bytes count from 2; 1 stands between segments.
         flat = np.frombuffer(b"\x00".join(r[4] for r in held) + b"\x00", np.uint8)
-        symbols = flat.astype(np.int64) + 2
+        symbols = flat.astype(np.int16) + 2
         symbols[base[1:] - 1] = 1
         starts_here = np.zeros(len(flat), bool)
         for b, n in zip(base[:-1], lengths, strict=True):

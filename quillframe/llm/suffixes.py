@@ -13,38 +13,39 @@ import numpy as np
 
 def _names(t: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """Ranks from 1 of the triples of t that begin at these places, equal for equal triples; symbols lie below size."""
-    key = t[at] * size
+    key = t[at].astype(np.int64)
+    key *= size
     key += t[at + 1]
     if size**3 >= 1 << 62:
-        key = _dense(key)
+        key = _dense(key).astype(np.int64)
     key *= size
     key += t[at + 2]
     if size**3 <= 1 << 25:
         seen = np.zeros(size**3, bool)
         seen[key] = True
-        return np.cumsum(seen, dtype=np.int32)[key].astype(np.int64)
+        return np.cumsum(seen, dtype=np.int32)[key]
     return _dense(key)
 
 
 def _dense(key: np.ndarray) -> np.ndarray:
     order = np.argsort(key)
     found = key[order]
-    new = np.ones(len(key), np.int64)
+    new = np.ones(len(key), bool)
     new[1:] = found[1:] != found[:-1]
-    out = np.empty(len(key), np.int64)
-    out[order] = np.cumsum(new)
+    out = np.empty(len(key), np.int32)
+    out[order] = np.cumsum(new, dtype=np.int32)
     return out
 
 
 def ranks(s: np.ndarray, size: int, depth: int) -> np.ndarray:
-    """A rank for each suffix of s, whose symbols lie in [1, size)."""
+    """A rank for each suffix of s, whose symbols lie in [1, size). Symbols and ranks have 32 bits, so s has fewer than 2**31 of them."""
     n = len(s)
     if n < 3:
         order = sorted(range(n), key=lambda i: s[i:].tolist())
         out = np.empty(n, np.int64)
         out[order] = np.arange(1, n + 1)
         return out
-    t = np.zeros(n + 4, np.int64)
+    t = np.zeros(n + 4, np.int32)
     t[:n] = s
     # One sample more than needed where n is 1 modulo 3: its triple of padding ends the first half.
     samples = np.concatenate([np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)])
@@ -52,27 +53,30 @@ def ranks(s: np.ndarray, size: int, depth: int) -> np.ndarray:
     top = int(names.max())
     if depth > 3 and top < len(samples):
         names = ranks(names, top + 1, -(-depth // 3) + 1)
-    rank = np.zeros(n + 4, np.int64)
+    rank = np.zeros(n + 4, np.int32)
     rank[samples] = names
+    del names
     # The rest: by first symbol, then by the rank of the sampled suffix after it.
     wide = int(rank.max()) + 1
     zero = np.arange(0, n, 3)
-    key = t[zero] * wide + rank[zero + 1]
+    key = t[zero].astype(np.int64) * wide + rank[zero + 1]
     by_zero = np.argsort(key, kind="stable")
     zero, key = zero[by_zero], key[by_zero]
     # Merge. Samples at 1 modulo 3 compare with the rest by one symbol and a rank, the others by two.
     samples = samples[samples < n]
     samples = samples[np.argsort(rank[samples], kind="stable")]
     one, two = samples[samples % 3 == 1], samples[samples % 3 == 2]
-    before = np.searchsorted(t[one] * wide + rank[one + 1], key)
-    pairs = [t[two] * size + t[two + 1], t[zero] * size + t[zero + 1]]
+    before = np.searchsorted(t[one].astype(np.int64) * wide + rank[one + 1], key)
+    del key
+    pairs = [t[two].astype(np.int64) * size + t[two + 1], t[zero].astype(np.int64) * size + t[zero + 1]]
     if size * size * wide >= 1 << 62:
-        both = _dense(np.concatenate(pairs))
+        both = _dense(np.concatenate(pairs)).astype(np.int64)
         pairs = [both[: len(two)], both[len(two) :]]
     before += np.searchsorted(pairs[0] * wide + rank[two + 2], pairs[1] * wide + rank[zero + 2])
     # Equal up to the depth, the two comparisons may disagree; any order will do there.
     before = np.maximum.accumulate(before)
-    out = np.empty(n, np.int64)
+    del pairs
+    out = np.empty(n, np.int32)
     out[zero] = np.arange(1, len(zero) + 1) + before
     out[samples] = np.arange(1, len(samples) + 1) + np.searchsorted(before, np.arange(len(samples)), side="right")
     return out
