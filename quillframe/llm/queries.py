@@ -65,7 +65,7 @@ def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_repeats(spark: SparkSession, sf: str) -> DataFrame:
-    return repeats.remove_repeats(documents(spark, sf), Scratch(spark, "repeats"))
+    return repeats.remove_repeats(documents(spark, sf), Scratch(spark, "repeats"), passages=(repeats.PASSAGE, repeats.PASSAGE_GRAM))
 
 
 def op10_lengths(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,6 +16,10 @@ Windows need only be compared within an anchor, which is what makes the suffix s
 
 All three are exact for windows (hashes that decide equality have 128 bits), every window takes one
 of them, and none needs a task that holds an unbounded group.
+
+Where repeats of two lengths are asked for, the shorter windows are searched in all texts. Every window
+of a longer string that repeats repeats too, so the longer ones are then searched only inside the runs
+that the shorter ones cover.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from quillframe.llm.suffixes import agree, order
 
 WINDOW = 400
 GRAM = 200
+#: Bytes of a shorter repeat, about 50 short words, and the anchors' length for it.
+PASSAGE, PASSAGE_GRAM = 256, 100
 HOT_BYTES = 8 << 20
 #: Bytes that one suffix sort takes, but for an anchor that alone has more.
 SORT_BYTES = 1 << 20
@@ -78,10 +84,24 @@ def runs(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _runs_inside(spans: pa.ListArray, data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As runs, of the windows that lie within one of their text's spans; the spans' bytes alone are read."""
+    first, last = (x.to_numpy() + np.repeat(offsets[:-1], spans.value_lengths().to_numpy()) for x in spans.flatten().flatten())
+    first, last = first[last - first >= window], last[last - first >= window]
+    base = np.concatenate([[0], np.cumsum(last - first)])
+    inside = np.concatenate([data[:0], *(data[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True))])
+    anchors, starts, ends = runs(inside, base, window, gram)
+    moved = (first - base[:-1])[np.searchsorted(base, starts, side="right") - 1]
+    return anchors, starts + moved, ends + moved
+
+
 def _list_runs(rows: DataFrame, window: int, gram: int) -> DataFrame:
+    """rows: doc_id and text; with a third column, spans, only windows within one of them are listed."""
+    within = len(rows.columns) > 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for block, data, offsets in blocks(batches):
-            anchors, starts, ends = runs(data, offsets, window, gram)
+            anchors, starts, ends = _runs_inside(block.column(2), data, offsets, window, gram) if within else runs(data, offsets, window, gram)
             view = memoryview(data.tobytes())
             of = np.searchsorted(offsets, starts, side="right") - 1
             keys = {i: hashlib.md5(view[offsets[i] : offsets[i + 1]]).digest() for i in np.unique(of)}
@@ -144,11 +164,19 @@ def _sort_segments(reps: DataFrame, window: int) -> DataFrame:
     return in_arrow(reps, run, "text_key binary, start long, end long")
 
 
-def find_repeats(df: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, hot_bytes: int = HOT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_repeats(df: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, hot_bytes: int = HOT_BYTES, id_col: str = "doc_id", text_col: str = "text", within: DataFrame | None = None) -> DataFrame:
     """text_key (md5 of the text's bytes) and spans, an array of (start, end) in bytes: the maximal runs of
-    what the repeated windows of that text cover. Texts without one have no row."""
+    what the repeated windows of that text cover. Texts without one have no row.
+
+    within: the result for a shorter window over the same df, which holds every repeat of this one; the
+    search is then confined to it."""
     rows = columns_of(df, doc_id=id_col, text=text_col)
-    listed = scratch.keep(_list_runs(rows, window, gram))
+    texts = rows.filter(F.octet_length("text") >= window).withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    if within is None:
+        listed = scratch.keep(_list_runs(rows, window, gram))
+    else:
+        long = within.filter(F.exists("spans", lambda s: s["end"] - s["start"] >= window))
+        listed = scratch.keep(_list_runs(texts.join(long, F.col("key") == F.col("text_key")).select("doc_id", "text", "spans"), window, gram))
     kinds = scratch.keep(listed.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("text_key", "doc_id", "start", "n")).alias("rep")))
     again = kinds.filter("times > 1").select(F.col("anchor").alias("a"), F.col("segment").alias("s"), "times")
     whole = join_hot(listed, again, {"anchor": "a", "segment": "s"}, "times", listed.count())
@@ -160,7 +188,6 @@ def find_repeats(df: DataFrame, scratch: Scratch, window: int = WINDOW, gram: in
     # As many entries as a text has runs at most.
     by_text = scratch.keep(wanted.groupBy("text_key", "doc_id").agg(F.collect_list("r").alias("wanted")))
     scratch.drop(kinds)
-    texts = rows.filter(F.octet_length("text") >= window).withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
     found = by_text.join(texts.withColumnRenamed("doc_id", "id"), (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("text_key", "text", "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -239,21 +266,32 @@ def whole_characters(text: bytes, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def remove_repeats(df: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, hot_bytes: int = HOT_BYTES, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(df: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, hot_bytes: int = HOT_BYTES, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), passages: tuple[int, int] | None = None) -> DataFrame:
     """One row for each row of df: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text;
-    with keep, those columns of df in front.
+    with keep, those columns of df in front; with passages, passage_bytes and n_passages behind.
 
     Removes each byte of a text that lies under a string of window bytes which also starts anywhere
     else in the table, in the same text too. Null counts as an empty text; texts shorter than window
     lose nothing; equal texts of window bytes or more, repeated rows among them, lose everything.
     kept_text leaves characters whole: it keeps one of which only some bytes repeat. n_removed and
     kept_sha256 go by bytes. An empty table gives an empty result.
+
+    passages, a shorter window and its gram, also reports the repeats of that length: how many bytes of
+    the text lie under them, and in how many maximal runs. Nothing is removed for them.
     """
-    spans = find_repeats(df, scratch, window, gram, hot_bytes, id_col, text_col).withColumnRenamed("text_key", "of")
+    if passages and passages[0] > window:
+        raise ValueError(f"passages of {passages[0]} bytes are longer than the window of {window}")
+    if passages:
+        shorter = find_repeats(df, scratch, *passages, hot_bytes, id_col, text_col)
+        spans = find_repeats(df, scratch, window, gram, hot_bytes, id_col, text_col, shorter)
+        spans = shorter.select(F.col("text_key").alias("of"), F.col("spans").alias("passages")).join(spans, F.col("of") == F.col("text_key"), "left").drop("text_key")
+    else:
+        spans = find_repeats(df, scratch, window, gram, hot_bytes, id_col, text_col).withColumnRenamed("text_key", "of")
+    found_in = ["spans", "passages"] if passages else ["spans"]
     own = [f"k{i}" for i in range(len(keep))]
     rows = columns_of(df, doc_id=id_col, text=text_col, **dict(zip(own, keep, strict=True)))
     rows = rows.withColumn("key", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
-    joined = rows.join(spans, F.col("key") == F.col("of"), "left").select("doc_id", "text", "spans", *own)
+    joined = rows.join(spans, F.col("key") == F.col("of"), "left").select("doc_id", "text", *found_in, *own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for block, data, offsets in blocks(batches):
@@ -271,9 +309,15 @@ def remove_repeats(df: DataFrame, scratch: Scratch, window: int = WINDOW, gram:
                 kept, whole = b"".join([*kept, text[at:]]), b"".join([*whole, text[to:]])
                 for name, x in zip(out, (len(text) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), whole.decode()), strict=True):
                     out[name].append(x)
-            yield {c: block.column(3 + i) for i, c in enumerate(own)} | {"doc_id": block.column(0), "n_bytes": np.diff(offsets)} | out
+            if passages:
+                shorter = [[s["end"] - s["start"] for s in found or []] for found in block.column(3).to_pylist()]
+                out |= {"passage_bytes": [sum(x) for x in shorter], "n_passages": [len(x) for x in shorter]}
+            yield {c: block.column(2 + len(found_in) + i) for i, c in enumerate(own)} | {"doc_id": block.column(0), "n_bytes": np.diff(offsets)} | out
 
     made = T.StructType([*[T.StructField(n, df.schema[c].dataType) for n, c in zip(own, keep, strict=True)], T.StructField("doc_id", df.schema[id_col].dataType)])
-    for name, kind in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType())):
+    results = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType(), "kept_text": T.StringType()}
+    if passages:
+        results |= {"passage_bytes": T.LongType(), "n_passages": T.LongType()}
+    for name, kind in results.items():
         made = made.add(name, kind)
-    return in_arrow(joined, run, made).toDF(*keep, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
+    return in_arrow(joined, run, made).toDF(*keep, "doc_id", *results)

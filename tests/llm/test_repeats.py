@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -7,6 +8,8 @@ import pytest
 from quillframe.llm import queries, repeats
 from quillframe.llm.repeats import merged, remove_repeats, whole_characters
 
+from .conftest import prose
+
 
 def brute(texts, window):
     seen = Counter(t[i : i + window] for t in texts for i in range(len(t) - window + 1))
@@ -52,6 +55,32 @@ def test_query(spark):
     assert sum(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in found) > 0.9 * len(found)
 
 
+@pytest.mark.parametrize(("window", "gram", "hot", "passages"), [(400, 200, 8 << 20, (256, 100)), (90, 40, 8 << 20, (40, 20)), (90, 40, 0, (40, 20)), (40, 20, 8 << 20, (40, 25))])
+def test_passages(odd, rows, scratch, empty, window, gram, hot, passages):
+    """Both lengths against brute force: the longer strings are searched inside the shorter ones' runs."""
+    found = remove_repeats(odd, scratch, window, gram, hot, passages=passages).collect()
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["passage_bytes"], r["n_passages"]) for r in found)
+    texts = [(r[2] or "").encode() for r in rows]
+    both = zip(rows, brute(texts, window), brute(texts, passages[0]), strict=True)
+    assert got == Counter((r[1], *long, *short[1:3]) for r, long, short in both)
+    assert remove_repeats(empty, scratch, window, gram, passages=passages).collect() == []
+    with pytest.raises(ValueError, match="longer than the window"):
+        remove_repeats(odd, scratch, window, gram, passages=(window + 1, gram))
+
+
+def test_query_reports_short_passages(spark, tmp_path):
+    """Passages of over 50 words have fewer than 400 bytes: op9 leaves them, as its contract says, and reports them."""
+    rng = random.Random(5)
+    shared = prose(rng, 55)
+    assert 256 <= len(shared) < 400
+    texts = [f"{prose(rng, 80)} {shared} {prose(rng, 30)}", f"{prose(rng, 20)} {shared}", *(prose(rng, 120) for _ in range(4)), shared[:200], None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in queries.op9_repeats(spark, str(tmp_path)).collect()}
+    assert all(found[i]["n_removed"] == 0 and found[i]["kept_text"] == (t or "") for i, t in enumerate(texts))
+    assert [found[i]["n_passages"] for i in range(len(texts))] == [1, 1, 0, 0, 0, 0, 0, 0]
+    assert all(len(shared) <= found[i]["passage_bytes"] <= len(shared) + 4 for i in (0, 1))
+
+
 def test_whole_characters():
     text = "aéb".encode()
     assert whole_characters(text, 0, 2) == (0, 1)
